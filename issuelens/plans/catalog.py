@@ -42,4 +42,4 @@ def entries() -> dict[str, Entry]:
 
 def _load() -> None:
     # Importing the query modules fills the registry.
-    from . import queries  # noqa: F401
+    from . import corpus_queries, queries, vector_queries  # noqa: F401
