@@ -47,9 +47,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over all cores when it has fewer splits than cores.
+
+    A file with one row group is one scan task, and the text work after it
+    (regexes over whole documents) would run on one core.  Large inputs have
+    at least as many splits as cores, so this is a no-op for them; filters
+    and column pruning still reach the scan below the repartition.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def issues_from_documents(documents: DataFrame) -> DataFrame:
