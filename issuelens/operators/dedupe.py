@@ -69,9 +69,13 @@ def remove_duplicates(issues: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def write_bad_ids(bad: DataFrame, path: str) -> None:
-    """S7 (write): per repo, sorted ids as text, one per line."""
-    (bad.select("repo", F.col("id").cast("string").alias("value"))
-     .repartition("repo").sortWithinPartitions("repo", F.col("value").cast("bigint"))
+    """S7 (write): per repo, sorted ids as text, one per line.
+
+    A range partition on (repo, id) spreads a large repo over several tasks;
+    each writes one sorted file whose range follows the previous file's.
+    """
+    (bad.select("repo", "id").repartitionByRange("repo", "id").sortWithinPartitions("repo", "id")
+     .select("repo", F.col("id").cast("string").alias("value"))
      .write.mode("overwrite").partitionBy("repo").text(path))
 
 
