@@ -42,4 +42,4 @@ def entries() -> dict[str, Entry]:
 
 def _load() -> None:
     # Importing the query modules fills the registry.
-    from . import corpus_queries, io_queries, queries, vector_queries  # noqa: F401
+    from . import corpus_queries, io_queries, model_queries, queries, vector_queries  # noqa: F401
