@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "keyword_evaluation", "sliced_evaluation", "clean_pipeline", "handcrafted_features",
+    "keyword_evaluation", "sliced_evaluation", "clean_text", "handcrafted_features",
     "bad_ids", "top_words_per_class", "word_count_vector", "normalised_vector_mean",
     "nan_mean_vector", "train_test_split", "threshold_sweep", "class_profile",
 )

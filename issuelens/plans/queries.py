@@ -198,10 +198,10 @@ def remove_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return C.issues(spark, sf).select("id", T.remove_markdown(T.concat_features()).alias("text"))
 
 
-@register("clean_pipeline", "F5", W(O.base_ctes(), f"""
+@register("clean_text", "F5", W(O.base_ctes(), f"""
 select id, {O.clean(_X, T.TRAINER_STEPS)} as trainer_text,
   {O.clean(O.concat_features(trailing=False), T.LABELLER_STEPS)} as labeller_text from issues"""))
-def clean_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return C.issues(spark, sf).select(
         "id", T.clean(T.concat_features(), T.TRAINER_STEPS).alias("trainer_text"),
         T.clean(T.concat_features(trailing=False), T.LABELLER_STEPS).alias("labeller_text"))

@@ -70,3 +70,25 @@ def test_softmax_and_label_name(spark):
     # double softmax never exceeds e/(e+2)
     d = df.select(T.double_softmax("s").alias("d")).collect()
     assert max(max(r["d"]) for r in d) <= 2.718281828 / (2.718281828 + 2) + 1e-9
+
+
+def test_external_encoder_nan_mean(spark):
+    import numpy as np
+
+    from issuelens.operators import vectors
+
+    def make():
+        def predict(texts):
+            out = []
+            for t in texts:
+                n = float(len(t))
+                out.append([n, float(t.count("a"))] if n > 3 else [float("nan"), float("nan")])
+            return np.array(out, dtype=np.float32)
+        return predict
+
+    encode = vectors.batch_encoder(make, dim=2, batch_size=2)
+    df = spark.createDataFrame([(1, "aaaa bb. cc. dddd aa! "), (2, "ab. "), (3, "")], "id BIGINT, t STRING")
+    got = {r["id"]: r["vector"] for r in vectors.encoded_sentence_mean(df, F.col("t"), encode, 2).collect()}
+    # sentences of 1: "aaaa bb" (7, 4), "cc" (nan), "dddd aa" (7, 2) -> mean (7, 3)
+    assert got[1] == pytest.approx([7.0, 3.0])
+    assert got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
