@@ -55,17 +55,18 @@ def bad_ids(issues: DataFrame, whitelist: Iterable[str], keep_one: bool = False)
     groups = duplicate_groups(issues, whitelist)
     if not keep_one:
         agreeing = groups.filter(~F.col("conflicting")).select("repo", F.col("min_id").alias("id"))
-        conflict_keys = bounded_broadcast(groups.filter(F.col("conflicting")).select("repo", "_key"))
+        conflict_keys = bounded_broadcast(groups.filter(F.col("conflicting")).select("repo", "_key"),
+                                          materialize=True)
         conflicting = keyed.join(conflict_keys, ["repo", "_key"], "left_semi").select("repo", "id")
         return agreeing.unionByName(conflicting).distinct()
-    keys = bounded_broadcast(groups.select("repo", "_key", "min_id", "conflicting"))
+    keys = bounded_broadcast(groups.select("repo", "_key", "min_id", "conflicting"), materialize=True)
     rows = keyed.join(keys, ["repo", "_key"], "inner")
     return rows.filter(F.col("conflicting") | (F.col("id") != F.col("min_id"))).select("repo", "id").distinct()
 
 
 def remove_duplicates(issues: DataFrame, bad: DataFrame) -> DataFrame:
     """Drop every post (whitelisted or not) whose id is bad (anti join)."""
-    return issues.join(bounded_broadcast(bad.select("id").distinct()), "id", "left_anti")
+    return issues.join(bounded_broadcast(bad.select("id"), materialize=True), "id", "left_anti")
 
 
 def write_bad_ids(bad: DataFrame, path: str) -> None:

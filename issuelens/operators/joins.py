@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +10,17 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      materialize: bool = False) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    The count is one cheap aggregate job; beyond the bound the plain frame is
+    The count is one aggregate job; beyond the bound the plain frame is
     returned and Spark plans a shuffle join (with AQE skew splitting).
+    ``materialize=True`` persists a derived side (an aggregate, say) before
+    counting, so the join reuses what the count computed instead of running
+    the side's shuffle twice; lost blocks are recomputed from the lineage.
     """
+    if materialize:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
