@@ -85,13 +85,20 @@ def _seen_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return vocab.exploded_tokens(ds, F.col("body"), keep=["label"])
 
 
+def _seen_class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """``(label, word, n)`` over the seen bodies: the one token aggregate that
+    both the common words and the per-class counts are read from (the same
+    plan twice, so Spark reuses its exchange)."""
+    return vocab.token_counts(_seen_tokens(spark, sf), by=["label"])
+
+
 def _common_words(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.top_words(vocab.token_counts(_seen_tokens(spark, sf)), 50)
+    per_word = _seen_class_counts(spark, sf).groupBy("word").agg(F.sum("n").alias("n"))
+    return vocab.top_words(per_word, 50)
 
 
 def _rare_counts(spark: SparkSession, sf: str) -> DataFrame:
-    toks = vocab.drop_words(_seen_tokens(spark, sf), _common_words(spark, sf))
-    return vocab.token_counts(toks, by=["label"])
+    return vocab.drop_words(_seen_class_counts(spark, sf), _common_words(spark, sf))
 
 
 def _top_per_class(spark: SparkSession, sf: str) -> DataFrame:
