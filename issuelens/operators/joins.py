@@ -6,10 +6,23 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a derived (data-dependent) side may have and still be broadcast.
+# Bytes a broadcast side may take: every executor holds a copy.
+BROADCAST_BYTES = 256 << 20
+# Rows a narrow derived side (keys, ids: ~64 bytes a row) may have and still
+# be broadcast (about 128 MB).
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+def rows_within(row_bytes: int, budget: int = BROADCAST_BYTES) -> int:
+    """Row bound for a side whose rows take about ``row_bytes`` each."""
+    return max(1, budget // max(row_bytes, 1))
+
+
+def vector_rows(dim: int, key_bytes: int = 32) -> int:
+    """Row bound for a vector table: ``dim`` doubles plus a key per row."""
+    return rows_within(dim * 8 + key_bytes + 16)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       materialize: bool = False) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.

@@ -69,7 +69,8 @@ from ds d left join (select id, sum(w) as n_known from b_hits where vec_id in (s
   on d.id = k.id"""))
 def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
     ds = C.dataset(spark, sf)
-    hits = vectors.lookup(ds, F.col("body"), ["id"], vectors.vector_table(_emb(spark, sf), True))
+    emb = _emb(spark, sf)
+    hits = vectors.lookup(ds, F.col("body"), ["id"], vectors.vector_table(emb, True), vectors.embedding_dim(emb))
     known = hits.groupBy("id").agg(F.sum("w").cast("bigint").alias("n_known"))
     return (ds.select("id", F.size(T.vector_tokens("body")).alias("n_tokens")).join(known, "id", "left")
             .select("id", "n_tokens", F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known")))
