@@ -46,7 +46,11 @@ def log_line_pattern(as_written: bool = True) -> str:
 
 
 FENCE = r"(?s)```.+?```"
-URL = (r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
+# The URL pattern's ``\b`` is the Unicode word boundary of Python's ``re`` on
+# str, spelled out with lookarounds so the result does not depend on the JVM
+# (Java 19+ made a bare ``\b`` ASCII-only).
+WORD_BOUNDARY = rf"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
+URL = (r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}" + WORD_BOUNDARY +
        r"([-a-zA-Z0-9()@:%_\+.~#?&//=]*)")
 MARKDOWN_EMPHASIS_OR_LINK = r"(?d)(?:__|[*#])|\[(.*?)\]\(.*?\)"
 MARKDOWN = (r"(?d)#+|[*]+|[_]+|[>]+|[-][-]+|[+]|[`]+|!\[.+\]\(.+\)|\[.+\]\(.+\)"
@@ -95,8 +99,14 @@ def keyword_pattern(words: str, as_written: bool = True) -> str:
 
 
 def re2(pattern: str) -> str:
-    """The RE2 spelling of a Java pattern built by this module."""
-    return pattern.replace("(?iu)", "(?i)").replace("(?d)", "")
+    """The RE2 spelling of a Java pattern built by this module.
+
+    RE2 has no lookaround, so the spelled-out Unicode boundary becomes RE2's
+    ASCII ``\b``: the two differ only where a URL's last label touches a
+    non-ASCII letter or digit (``http://a.ioüber``), which the Java form,
+    like Python, does not take as a URL.
+    """
+    return pattern.replace("(?iu)", "(?i)").replace("(?d)", "").replace(WORD_BOUNDARY, r"\b")
 
 
 def sql_str(text: str) -> str:
