@@ -76,8 +76,8 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 _SEEN_TOKENS = ("st", f"select label, {_tok_sql('body')} as word from ds where split = 'seen'")
 _COMMON = ("common", "select word, count(*) as n from st group by word order by n desc, word limit 50")
 _RARE = ("rare", "select label, word, count(*) as n from st where word not in (select word from common) group by all")
-_TOP_CLASS = ("topc", "select * from (select label, word, n, row_number() over (partition by label order by n desc, word) "
-              "as rank from rare) where rank <= 150")
+_TOP_CLASS = ("topc", "select label, word, n, cast(rank as integer) as rank from (select label, word, n, "
+              "row_number() over (partition by label order by n desc, word) as rank from rare) where rank <= 150")
 
 
 def _seen_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +171,7 @@ def class_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("freq_dist_top80", "T3", W(O.base_ctes() + [_CLASS_SQL, _CLASS_COUNTS], """
-select * from (select class, word, n, row_number() over (partition by class order by n desc, word) as rank from cc)
+select class, word, n, cast(rank as integer) as rank from (select class, word, n, row_number() over (partition by class order by n desc, word) as rank from cc)
 where rank <= 80"""))
 def freq_dist_top80(spark: SparkSession, sf: str) -> DataFrame:
     return vocab.top_words_per_group(_class_counts(spark, sf), "class", 80).select("class", "word", "n", "rank")
@@ -180,8 +180,9 @@ def freq_dist_top80(spark: SparkSession, sf: str) -> DataFrame:
 # --- tokenisers, sentences, HTML, hand-made features (F8-F10, F12, F18) ----------------
 
 @register("tokenise", "F10", W(O.base_ctes(), f"""
-select id, len({O.tokens('body')}) as n_words, len(list_distinct({O.tokens('body', True)})) as n_distinct_lower,
-  len({O.extract_all('body', P.VECTOR_TOKEN)}) as n_vector_tokens,
+select id, cast(len({O.tokens('body')}) as integer) as n_words,
+  cast(len(list_distinct({O.tokens('body', True)})) as integer) as n_distinct_lower,
+  cast(len({O.extract_all('body', P.VECTOR_TOKEN)}) as integer) as n_vector_tokens,
   array_to_string({O.tokens('body')}, ' ') as words from issues"""))
 def tokenise(spark: SparkSession, sf: str) -> DataFrame:
     return C.issues(spark, sf).select(
@@ -196,7 +197,7 @@ def _sentences_sql(x: str) -> str:
 
 
 @register("sentence_split", "F18", W(O.base_ctes(), f"""
-select id, len({_sentences_sql(O.remove_markdown('body'))}) as n_sentences,
+select id, cast(len({_sentences_sql(O.remove_markdown('body'))}) as integer) as n_sentences,
   array_to_string({_sentences_sql(O.remove_markdown('body'))}, chr(10)) as sentences from issues"""))
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     s = T.sentence_split(T.remove_markdown("body"))
@@ -205,7 +206,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("extract_links", "F8", f"""
-select page_id, len({O.extract_all('html', P.HTML_LINK, 1)}) as n_links,
+select page_id, cast(len({O.extract_all('html', P.HTML_LINK, 1)}) as integer) as n_links,
   array_to_string({O.extract_all('html', P.HTML_LINK, 1)}, chr(10)) as links from pages""")
 def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     links = T.extract_links("html")

@@ -36,9 +36,9 @@ def keyword_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("keyword_classifier", "M1", W(C.ctes_dataset(), f"""
-select id, {O.count(O.concat_features(), keyword.keyword_patterns()[0])} as n_bug,
-  {O.count(O.concat_features(), keyword.keyword_patterns()[1])} as n_doc,
-  {O.count(O.concat_features(), keyword.keyword_patterns()[2])} as n_feature,
+select id, cast({O.count(O.concat_features(), keyword.keyword_patterns()[0])} as integer) as n_bug,
+  cast({O.count(O.concat_features(), keyword.keyword_patterns()[1])} as integer) as n_doc,
+  cast({O.count(O.concat_features(), keyword.keyword_patterns()[2])} as integer) as n_feature,
   {O.keyword_pred(O.concat_features())} as pred,
   {O.keyword_pred(O.concat_features(), as_written=True)} as pred_as_written
 from ds"""))
@@ -218,7 +218,7 @@ _SEP = "\n<<>>\n"
 
 
 @register("split_code_text", "F7", W(O.base_ctes(), f"""
-select id, len({O.code_blocks('body')}) as n_codeblocks,
+select id, cast(len({O.code_blocks('body')}) as integer) as n_codeblocks,
   array_to_string({O.code_blocks('body')}, {O.q(_SEP)}) as codeblocks,
   {O.replace_all('body', T.P.FENCE, '')} as text, title, labels from issues"""))
 def split_code_text(spark: SparkSession, sf: str) -> DataFrame:

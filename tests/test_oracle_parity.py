@@ -23,6 +23,11 @@ def _norm(v):
     return v
 
 
+# Spark type -> DuckDB type name, for the schema comparison.
+TYPE_NAMES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+              "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
 def _bag(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return Counter(tuple(_norm(r[i]) for i in order) for r in rows)
@@ -43,8 +48,10 @@ def test_query_matches_sql(spark, sf_small, duck, key):
     e = entries()[key]
     sdf = e.query(spark, sf_small)
     srows = sdf.collect()
-    cur = duck.execute(e.sql)
-    dcols = [d[0] for d in cur.description]
-    drows = cur.fetchall()
+    rel = duck.sql(e.sql)
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
+    drows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    stypes = {f.name: TYPE_NAMES.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+    assert stypes == dict(zip(dcols, dtypes))
     assert _bag(sdf.columns, srows) == _bag(dcols, drows)

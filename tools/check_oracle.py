@@ -22,6 +22,10 @@ from issuelens.session import build_session  # noqa: E402
 from issuelens.sources.tables import TABLES, table_path  # noqa: E402
 
 
+TYPE_NAMES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+              "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -61,12 +65,16 @@ def main(argv):
             if e.sql is None:
                 print(f"ROWS-ONLY {key:28s} rows={len(srows)} {ts:.1f}s", flush=True)
                 continue
-            cur = con.execute(e.sql)
-            dcols = [d[0] for d in cur.description]
-            drows = cur.fetchall()
+            rel = con.sql(e.sql)
+            dcols, dtypes = rel.columns, [str(t) for t in rel.types]
+            drows = rel.fetchall()
             problems = []
             if sorted(scols) != sorted(dcols):
                 problems.append(f"cols spark={sorted(scols)} sql={sorted(dcols)}")
+            stypes = {f.name: TYPE_NAMES.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+            tdiff = {k: (stypes.get(k), t) for k, t in zip(dcols, dtypes) if stypes.get(k) != t}
+            if tdiff:
+                problems.append(f"types {tdiff}")
             if len(srows) != len(drows):
                 problems.append(f"rows spark={len(srows)} sql={len(drows)}")
             if not problems:
