@@ -40,3 +40,18 @@ def test_flagship_scan_prunes_columns(spark, sf_small):
     schemas = [l for l in plan.splitlines() if l.startswith("ReadSchema")]
     assert schemas and all("lang" not in s and "n_chars" not in s for s in schemas)
     assert any("text" in s for s in schemas)
+
+
+def test_results_do_not_depend_on_partitioning(spark, sf_small):
+    import importlib
+    q = importlib.import_module("__spark_entry__").queries()
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    out = {}
+    try:
+        for parts in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out[parts] = {k: sorted(map(tuple, q[k](spark, sf_small).collect()))
+                          for k in ("keyword_evaluation", "top_words_per_class", "bad_ids")}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert out["1"] == out["16"]
