@@ -123,10 +123,12 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame | None:
 def append_labels(labelled: DataFrame, path: str) -> None:
     """Append ``(issue_num, label)`` rows.  Rows with a null label (the
     classifier abstained, Q10) are not written; an issue appears once per
-    batch; issues already in the sink are skipped (anti join on the key), so a
-    replayed batch appends nothing twice."""
-    rows = (labelled.filter(F.col("label").isNotNull()).select("issue_num", "label")
-            .dropDuplicates(["issue_num"]))
+    batch (callers pass one row per issue; should two labels arrive, the
+    smallest name is kept, so the result never depends on task order); issues
+    already in the sink are skipped (anti join on the key), so a replayed
+    batch appends nothing twice."""
+    rows = (labelled.filter(F.col("label").isNotNull())
+            .groupBy("issue_num").agg(F.min("label").alias("label")))
     done = read_sink(labelled.sparkSession, path)
     if done is not None:
         rows = rows.join(done.select("issue_num"), "issue_num", "left_anti")

@@ -49,12 +49,12 @@ def test_normalise_dump_drops_prs_and_unwanted_labels(spark):
 
 def test_label_sink_is_idempotent(spark):
     path = scratch_path(spark, "sink-test")
-    rows = spark.createDataFrame([(1, "bug"), (2, None), (3, "feature"), (3, "feature")],
+    rows = spark.createDataFrame([(1, "bug"), (2, None), (3, "feature"), (3, "feature"), (4, "doc"), (4, "bug")],
                                  "issue_num BIGINT, label STRING")
     io.append_labels(rows, path)
     io.append_labels(rows, path)
     got = sorted((r["issue_num"], r["label"]) for r in io.read_sink(spark, path).collect())
-    assert got == [(1, "bug"), (3, "feature")]
+    assert got == [(1, "bug"), (3, "feature"), (4, "bug")]
 
 
 def test_incremental_stream_labels_nothing_twice(spark):
