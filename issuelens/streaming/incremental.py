@@ -48,10 +48,12 @@ def label_batch(batch: DataFrame, sink_path: str, as_of: float, delta_seconds: f
     rows = io.unlabelled_only(rows, labels_col="label_names")
     if not include_pull_requests:
         rows = rows.filter(F.col("pull_request").isNull())
-    # An issue edited twice inside one batch: keep its latest snapshot.
+    # An issue edited twice inside one batch: keep its latest snapshot (ties on
+    # the update time broken by the text, so the choice never depends on task
+    # order).  A partial aggregate, so a hot issue costs one row per map task.
     latest = (rows.withColumn("issue_num", T.issue_number("url"))
               .groupBy("issue_num")
-              .agg(F.max_by(F.struct("title", "body"), "updated_s").alias("s"))
+              .agg(F.max(F.struct("updated_s", "title", "body")).alias("s"))
               .select("issue_num", "s.title", "s.body"))
     scored = scorer(latest.withColumn("X", labeller_text()))
     io.append_labels(scored.select("issue_num", T.label_name("pred", names).alias("label")), sink_path)
