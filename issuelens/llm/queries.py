@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, tokens, url_filter
+from . import licenses, mixing, packing, quality, tokens, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,17 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    joined = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*arrays))), ",")
+    base, own = F.transform("places", lambda p: p["label"]), F.transform("detections", lambda d: d["label"])
+    weights = F.transform("detections", lambda d: d["weight"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["start"])).alias("last_word"),
+        joined(base).alias("base_labels"), joined(base, own).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(weights), F.lit(0.0))).alias("score"))
