@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pii, quality, tokens, url_filter
+from . import licenses, minhash, mixing, packing, pii, quality, tokens, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *map(of, pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
