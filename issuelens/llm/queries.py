@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, pii, quality, tokens, url_filter
+from . import licenses, minhash, mixing, packing, pii, quality, tokens, url_filter, vector_links
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_duplicates")
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_vector_links")
+def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, sf_dir, "embeddings"))
