@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
 # Entries a task keeps in its table of chunks (about 200 bytes each).
-TABLE_ENTRIES = 700_000
+TABLE_ENTRIES = 1_300_000
 # White space of the splitting rule; Python's own also has \x1c-\x1f.
 BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
 NOT_PLAIN = re.compile(r"[^\w\s]{2}|[_'<\u0250-\U0010ffff]")
@@ -173,15 +173,15 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
 class Encoder:
     """Token ids of whole texts by the ``tokenizers`` library, as little-endian uint32 bytes.
 
-    Chunks not yet in the table are encoded together, separated by a special token (the
-    library cuts a text at its special tokens before anything else).
+    Words not yet in the table are encoded together and told apart by their word ends.
     """
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.mark = next(iter(self.special), None)
+        with open(path, encoding="utf-8") as f:
+            end = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends = frozenset(i for t, i in self.tok.get_vocab().items() if t.endswith(end)) if end else None
         self.table = Table(self.later)
         self.unknown: list[str] = []
         self.entries = entries
@@ -190,29 +190,21 @@ class Encoder:
         self.unknown.append(chunk)
         return b""
 
-    def alone(self, chunk: str) -> bytes:
-        return array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
-
     def learn(self, chunks: list[str]) -> None:
-        if self.mark is None:
-            self.table.update((c, self.alone(c)) for c in chunks)
-            return
-        plain = []
+        words = [c for c in chunks if c.isalpha()]
+        if self.ends is not None and words:
+            # A word is one piece, and only a piece's last id carries the word end.
+            ids = array("I", self.encode(" ".join(words)))
+            ends = [i + 1 for i, x in enumerate(ids) if x in self.ends]
+            if len(ends) == len(words):
+                data = ids.tobytes()
+                self.table.update((c, data[4 * i:4 * j]) for c, i, j in zip(words, [0, *ends], ends, strict=False))
         for c in chunks:
-            if "<" in c and any(s in c for s in self.special):
-                self.table[c] = self.alone(c)
-            else:
-                plain.append(c)
-        if not plain:
-            return
-        ids = array("I", self.tok.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids)
-        cut, at, mark = [], 0, self.special[self.mark]
-        for _ in range(len(plain) - 1):
-            nxt = ids.index(mark, at)
-            cut.append(ids[at:nxt].tobytes())
-            at = nxt + 1
-        cut.append(ids[at:].tobytes())
-        self.table.update(zip(plain, cut, strict=True))
+            if c not in self.table:
+                self.table[c] = array("I", self.encode(c)).tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def text(self, text: str) -> bytes:
         table = self.table
