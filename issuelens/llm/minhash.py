@@ -10,10 +10,8 @@ points before a horizon are made, which is doubled if a component stays empty.
 
 Signatures are banded; equal bands make candidates, and a pair is linked if the exact
 weighted Jaccard similarity of the two bags is ``THRESHOLD`` or more.  Equal texts
-share one key and are never compared.  A bucket does not emit all its pairs: its
-members are first compared with two pivots (its least and greatest key), linked ones
-form components, and only pairs of different components are compared after that;
-no candidate pair that could change a component is left out.
+share one key and are never compared; ``buckets`` finds the components without
+emitting all pairs of a bucket.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 equal rows are in one class; an empty table gives an empty result; extra columns
@@ -32,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import linked
 from .common import free_name, stored
-from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -160,31 +158,13 @@ def linked_keys(rows: DataFrame, docs: DataFrame, text_col: str = "text", thresh
     ``rows`` is stored (id, key, bands); ``docs`` is read again for the texts of candidates.
     """
     banded = rows.filter("key is not null").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-    banded = stored(banded, "bands")
-    shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    shared = stored(banded.join(shared, "band").select("band", "key", "low", "high"), "buckets")
-    ends = F.explode(F.array("low", "high"))
-    first = (shared.select("key", ends.alias("pivot")).filter("key <> pivot")
-             .select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct())
-    first = stored(first, "pivot-pairs")
-    members = shared.select("key").distinct()
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(members, "key", "left_semi")
-    texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
-    found = stored(verified(first, texts, threshold, words), "pivot-links")
-    once = components(found)
-
-    # Pairs of different components that share a bucket.
-    once = stored(once, "first-components")
-    tagged = shared.select("band", "key").join(once, F.col("key") == F.col("node"), "left")
-    tagged = stored(tagged.select("band", "key", F.coalesce("component", "key").alias("part")), "bucket-parts")
-    mixed = tagged.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band")
-    tagged = tagged.join(mixed, "band", "left_semi")
-    left = tagged.select("band", F.col("key").alias("a"), F.col("part").alias("part_a"))
-    right = tagged.select("band", F.col("key").alias("b"), F.col("part").alias("part_b"))
-    rest = left.join(right, "band").filter("a < b and part_a <> part_b").select("a", "b").distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, threshold, words), "other-links")
-    return components(once.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+    def prepare(members: DataFrame):
+        texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(members, "key", "left_semi")
+        texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+        return lambda pairs: verified(pairs, texts, threshold, words)
+
+    return linked(banded, prepare)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, pii, quality, tokens, url_filter, vector_links
+from . import licenses, line_dedup, minhash, mixing, packing, pii, quality, tokens, url_filter, vector_links
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_vector_links")
 def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
