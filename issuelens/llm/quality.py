@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_name, stored, words_of
+from .common import SPACES, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -47,7 +47,7 @@ FENCE = 5.0                     # spreads from the median to the fence
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` plus the counts and ratios of every whole text (no shuffle)."""
-    w, h, s, p, n_up, n_mark = (free_name(docs, x) for x in ("_w", "_h", "_s", "_p", "_up", "_mark"))
+    w, h, s, p, n_up, n_mark = "_w", "_h", "_s", "_p", "_up", "_mark"
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, SPACES, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
@@ -151,9 +151,24 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (default: all) of every row, the counts, base_failed, the ratios and ``kept``."""
-    columns = docs.columns if columns is None else columns
-    rows = stored(counted(docs, [*columns, *[c for c in ("lang", "source") if c not in columns]]), "quality")
+    """``columns`` (default: all) of every row, the counts, base_failed, the ratios and ``kept``.
+
+    Columns of ``docs`` named like one of these results are left out.
+    """
+    results = {*COUNTS, "base_failed", *RATIOS, "kept"}
+    columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in results]
+    judged = _judged(docs.select(F.struct(*columns).alias("_row"), "lang", "source", "text"))
+    return judged.select("_row.*", *COUNTS, "base_failed", *RATIOS, "kept")
+
+
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return _judged(docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")).filter("kept").select("_row.*")
+
+
+def _judged(packed: DataFrame) -> DataFrame:
+    """(_row, counts, base_failed, ratios, kept) for (_row, lang, source, text)."""
+    rows = stored(counted(packed, ["_row", "lang", "source"]), "quality")
     limit = fences(sketches(rows))
     out = rows.join(limit, rows["lang"].eqNullSafe(F.col("_l")) & rows["source"].eqNullSafe(F.col("_s")), "left")
     bad = F.lit(False)
@@ -163,4 +178,4 @@ def quality_rules(docs: DataFrame, columns: list[str] | None = None) -> DataFram
             bad = bad | F.coalesce(F.col(k) > f["high"], F.lit(False))
         if below:
             bad = bad | F.coalesce(F.col(k) < f["low"], F.lit(False))
-    return out.select(*columns, *COUNTS, "base_failed", *RATIOS, (~F.col("base_failed") & ~bad).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~bad)
