@@ -2,8 +2,7 @@
 
 ``banded`` holds (band, key) rows.  Members of a bucket are first compared with two
 pivots, the bucket's least and greatest key; what links is joined to components.
-After that only pairs of different components are compared, so a bucket of near
-copies costs rows in proportion to its members, and no candidate pair that could
+After that only pairs of different components are compared, so a bucket of near copies costs rows in proportion to its members, and no candidate pair that could
 change a component is left out.  All steps are grouped aggregates and joins on bucket
 or key, whose hot keys adaptive execution can split.
 """
@@ -12,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -21,27 +20,55 @@ from .components import components
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def linked(banded: DataFrame, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
-    """(node, component) for keys that link with another.
-
-    ``prepare`` gets the distinct candidate keys (key) and returns the test that turns
-    pairs (a, b) into the linked pairs among them.
-    """
+def shared_buckets(banded: DataFrame) -> DataFrame:
+    """Stored (band, key) of the buckets with more than one member."""
     full = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    shared = stored(banded.join(full, "band").select("band", "key"), "buckets")
+    return stored(banded.join(full, "band").select("band", "key"), "buckets")
+
+
+def pivot_pairs(shared: DataFrame) -> DataFrame:
+    """Stored (a, b): every member with its bucket's least and greatest key."""
     ends = shared.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
     pairs = shared.join(ends, "band").select("key", F.explode(F.array("low", "high")).alias("pivot")).filter("key <> pivot")
-    first = stored(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pivot-pairs")
-    test = prepare(shared.select("key").distinct())
-    once = stored(components(stored(test(first), "pivot-links")), "first-components")
+    return stored(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pivot-pairs")
+
 
-    tagged = shared.join(once, F.col("key") == F.col("node"), "left")
+def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, key, part) of the buckets that hold more than one component of ``groups``."""
+    tagged = shared.join(groups, F.col("key") == F.col("node"), "left")
     tagged = stored(tagged.select("band", "key", F.coalesce("component", "key").alias("part")), "bucket-parts")
     mixed = tagged.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band")
-    tagged = tagged.join(mixed, "band", "left_semi")
-    left = tagged.select("band", F.col("key").alias("a"), F.col("part").alias("part_a"))
-    right = tagged.select("band", F.col("key").alias("b"), F.col("part").alias("part_b"))
-    rest = left.join(right, "band").filter("a < b and part_a <> part_b").select("a", "b").distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = stored(test(rest), "other-links")
-    return components(once.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return tagged.join(mixed, "band", "left_semi")
+
+
+def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``groups`` and the links together."""
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+
+
+def linked(banded: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column], Verify]]) -> DataFrame:
+    """(node, component) for keys that link with another.
+
+    ``prepare`` gets the stored candidate keys (key) and returns a table (key, sketch) with one
+    row a key, a condition on two sketch columns that every linked pair fulfils, and the
+    test that turns pairs (a, b) into the linked pairs among them.
+    """
+    shared = shared_buckets(banded)
+    sketches, near, test = prepare(stored(shared.select("key").distinct(), "candidates"))
+    of_a = sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a"))
+    of_b = sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
+    first = pivot_pairs(shared)
+    likely = first.join(of_b, "b").join(of_a, "a").filter(near("sketch_a", "sketch_b")).select("a", "b")
+    once = stored(components(stored(test(likely), "pivot-links")), "first-components")
+    # Unlike pairs of a bucket are never rows, nor is a pair a row in more than one bucket: both
+    # conditions are part of the join.
+    tagged = mixed_buckets(shared, once)
+    lists = tagged.groupBy("key").agg(F.collect_list("band").alias("bands"))
+    tagged = tagged.join(sketches.join(lists, "key"), "key")
+    left, right = (tagged.select("band", F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("part", "sketch", "bands")])
+                   for k in ("a", "b"))
+    least = F.array_min(F.array_intersect("bands_a", "bands_b"))
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
+                     & near("sketch_a", "sketch_b") & (least == left["band"])).select("a", "b")
+    more = stored(test(rest.join(first, ["a", "b"], "left_anti")), "other-links")
+    return grown(once, more)
