@@ -10,8 +10,12 @@ points before a horizon are made, which is doubled if a component stays empty.
 
 Signatures are banded; equal bands make candidates, and a pair is linked if the exact
 weighted Jaccard similarity of the two bags is ``THRESHOLD`` or more.  Equal texts
-share one key and are never compared; ``buckets`` finds the components without
-emitting all pairs of a bucket.
+share one key and are never compared.  A bucket does not emit all its pairs: members are
+first compared with two pivots; after that only pairs of different components count, and
+of these only pairs whose odd sketches (each shingle flips one of ``SKETCH_BITS`` bits)
+differ in no more bits than a similar pair does, five standard deviations included.  First
+each member's best such partner is verified, which joins most of what can be joined,
+then every one that is left.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 equal rows are in one class; an empty table gives an empty result; extra columns
@@ -30,11 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import linked
+from .buckets import grown, mixed_buckets, pivot_pairs, shared_buckets
 from .common import free_name, stored
+from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
+SKETCH_BITS = 4096
+BLOCK = 4096            # most members at home in one block of a bucket
 BANDS, ROWS = 40, 8     # finds a pair at similarity 0.8 with probability 0.9994
 
 _G1, _G2, _G3, _G4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407))
@@ -114,21 +121,46 @@ def similarity(a: tuple, b: tuple) -> float:
     return both / (int(a[1].sum()) + int(b[1].sum()) - both) if both else 0.0
 
 
+def odd_sketch(d: np.ndarray, w: np.ndarray) -> bytes:
+    """Parity, in ``SKETCH_BITS`` slots, of all shingle occurrences of a bag."""
+    nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    x = mix(np.repeat(d, w) + nth.astype(np.uint64) * _G4) & np.uint64(SKETCH_BITS - 1)
+    return np.packbits(np.bincount(x.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def most_bits(weights: np.ndarray, threshold: float) -> np.ndarray:
+    """Most bits in which the sketches of two bags of this total weight differ if they are similar.
+
+    Bags at the threshold differ in d = weight (1 - t) / (1 + t) occurrences, which leave
+    about m (1 - exp(-2d/m)) / 2 of m bits odd.
+    """
+    m, d = SKETCH_BITS, weights * ((1 - threshold) / (1 + threshold))
+    stay = np.exp(-4 * d / m)
+    spread = np.sqrt(np.maximum(1.0, m / 4 * (1 - stay) - d * stay))
+    return m / 2 * (1 - np.exp(-2 * d / m)) + 5 * spread + 1
+
+
 def with_bands(docs: DataFrame, id_col: str, text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
                words: int = WORDS) -> DataFrame:
-    """(id, key, bands) per row: key and bands are null for a text without words."""
+    """(id, key, bands, sketch, weight) per row; all but id and weight are null for a text without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            keys, sketches, weights = [], [], []
             for t in b.column(2).cast(pa.binary()):
                 d, w = shingles(t.as_py() or b"", words)
-                out.append(band_keys(signature(d, w, bands * rows), bands, rows) if len(d) else None)
-            key = pa.compute.if_else(pa.array([x is not None for x in out], pa.bool_()), b.column(1), pa.scalar(None, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), key, pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+                sig = signature(d, w, bands * rows) if len(d) else None
+                keys.append(None if sig is None else band_keys(sig, bands, rows))
+                sketches.append(None if sig is None else odd_sketch(d, w))
+                weights.append(int(w.sum()))
+            found = pa.array([x is not None for x in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.compute.if_else(found, b.column(1), pa.scalar(None, pa.int64())),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(weights, pa.int64())],
+                names=["id", "key", "bands", "sketch", "weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows_ = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, f"id {kind}, key bigint, bands array<bigint>")
+    return rows_.mapInArrow(run, f"id {kind}, key bigint, bands array<bigint>, sketch binary, weight bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
@@ -151,20 +183,84 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int =
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _partners(group: pa.Table, threshold: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different parts in one bucket block whose sketches may belong to similar bags."""
+    key, part, outer, weight = (group[c].to_numpy() for c in ("key", "part", "outer", "weight"))
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    inner = np.flatnonzero(group["home"].to_numpy())
+    found_a, found_b = [], []
+    for i in np.flatnonzero(outer):
+        ok = inner[part[inner] != part[i]]
+        both = weight[ok] + weight[i]
+        differ = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero(differ <= most_bits(both, threshold))
+        if best and len(hit):
+            hit = hit[(differ[hit] / both[hit]).argmin()][None]
+        found_a.append(np.full(len(hit), key[i]))
+        found_b.append(key[ok[hit]])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def likely_pairs(tagged: DataFrame, sketches: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Distinct (a, b) of different parts that share a bucket and look similar.
+
+    ``tagged`` has (band, key, part).  A large bucket is cut into blocks: each member is at
+    home in one, and members outside the bucket's largest part visit all of them.
+    """
+    per = tagged.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"),
+                                  F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    t = tagged.join(per, "band").withColumn("outer", F.col("part") != F.col("main"))
+    t = t.withColumn("own", F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int"))
+    seen_in = F.when(F.col("outer"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    t = t.withColumn("block", F.explode(seen_in)).withColumn("home", F.col("block") == F.col("own"))
+    t = t.join(sketches, "key").select("band", "block", "key", "part", "outer", "home", "sketch", "weight")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            band, block = t["band"].to_numpy(), t["block"].to_numpy()
+            ends = np.flatnonzero((band[1:] != band[:-1]) | (block[1:] != block[:-1])) + 1
+            for i, j in zip([0, *ends], ends, strict=False):
+                yield _pairs_batch(t.slice(i, j - i))
+            rest = t.slice(ends[-1]) if len(ends) else t
+        if rest is not None and len(rest):
+            yield _pairs_batch(rest)
+
+    def _pairs_batch(group: pa.Table) -> pa.RecordBatch:
+        a, b = _partners(group.combine_chunks(), threshold, best)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    t = t.repartition("band", "block").sortWithinPartitions("band", "block")
+    return t.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def linked_keys(rows: DataFrame, docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
                 words: int = WORDS) -> DataFrame:
     """(node, component) over text keys, for keys that link with another.
 
-    ``rows`` is stored (id, key, bands); ``docs`` is read again for the texts of candidates.
+    ``rows`` is stored (id, key, bands, sketch, weight); ``docs`` is read again for the texts of candidates.
     """
-    banded = rows.filter("key is not null").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-
-    def prepare(members: DataFrame):
-        texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(members, "key", "left_semi")
-        texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
-        return lambda pairs: verified(pairs, texts, threshold, words)
-
-    return linked(banded, prepare)
+    rows = rows.filter("key is not null")
+    shared = shared_buckets(rows.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band")))
+    members = stored(shared.select("key").distinct(), "candidates")
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(members, "key", "left_semi")
+    texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+    sketches = rows.join(members, "key", "left_semi").select("key", "sketch", "weight").dropDuplicates(["key"])
+    sketches = stored(sketches, "sketches")
+
+    tested = pivot_pairs(shared)
+    groups = stored(components(stored(verified(tested, texts, threshold, words), "pivot-links")), "components")
+    for best in (True, False):
+        pairs = likely_pairs(mixed_buckets(shared, groups), sketches, threshold, best)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "likely-pairs")
+        links = stored(verified(pairs, texts, threshold, words), "links")
+        groups = stored(grown(groups, links), "components")
+        tested = tested.union(pairs)
+    return groups
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
