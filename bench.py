@@ -28,8 +28,10 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     from issuelens.plans.catalog import entries
     from issuelens.session import build_session
+    from issuelens.sources.tables import SPREAD_SETTING
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark.conf.set(SPREAD_SETTING, cpus)  # the tables are files of one row group
     cat = entries()
     times: dict[str, float] = {}
     for key in HEADLINE:

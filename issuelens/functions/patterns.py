@@ -4,7 +4,8 @@ Spark evaluates the Java spelling.  The SQL oracle (DuckDB, RE2) gets
 ``re2(pattern)``.  Rules that keep the two engines equal:
 
 * words are ``[\\p{L}\\p{N}_]`` (``\\w`` is ASCII in Java and RE2),
-* whitespace is ``[ \\t\\n\\r\\f]`` (Java's ``\\s`` also has ``\\x0B``),
+* whitespace is spelled out as what the reference's ``\\s`` takes (Unicode blanks
+  too; Java's and RE2's ``\\s`` are ASCII), digits are ``\\p{Nd}``,
 * Java patterns that use ``.`` start with ``(?d)`` so only ``\\n`` ends a line,
   as in RE2; ``re2`` drops the flag,
 * case-insensitive Java patterns use ``(?iu)`` (Unicode folding, as RE2 does).
@@ -13,7 +14,8 @@ Spark evaluates the Java spelling.  The SQL oracle (DuckDB, RE2) gets
 from __future__ import annotations
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
-WS = r"[ \t\n\r\f]"
+WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+DIGIT = r"\p{Nd}"
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's patterns for equal results.
@@ -29,11 +31,11 @@ _LOG_PREFIX = r"\n        "
 def log_pattern(as_written: bool = True) -> str:
     prefix = _LOG_PREFIX if as_written else ""
     return ("(?d)"
-            r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}:"
+            rf"{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}} {DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}}\.{DIGIT}{{6}}:"
             rf"|{prefix}[Tt]raceback.{{0,10}}:"
             r"|[Bb]acktrace.{0,10}:"
             r"|[Ll]ogs?:"
-            r"|\d{2}:\d{2}:\d{2}"
+            rf"|{DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}}"
             rf"|{prefix}({LOG_LEVELS}){WS}*:")
 
 
@@ -61,11 +63,12 @@ MARKDOWN = (r"(?d)#+|[*]+|[_]+|[>]+|[-][-]+|[+]|[`]+|!\[.+\]\(.+\)|\[.+\]\(.+\)"
 WORD = WORD_CHAR + "+"
 VECTOR_TOKEN = (rf"{WORD_CHAR}+'{WORD_CHAR}+|{WORD_CHAR}+-{WORD_CHAR}+|{WORD_CHAR}+"
                 r"|[(...).,!:" + '"' + r";?]")
-UPPER_INITIAL = r"^\p{Lu}"
+# Upper-case letters, and the Roman numerals that count as upper case.
+UPPER_INITIAL = r"^[\p{Lu}\x{2160}-\x{216F}]"
 
 # Hand-made feature counters.
 USERNAME = rf"(?d){WS}@.+{WS}"
-ISSUE_REFERENCE = rf"{WS}#[\d]+{WS}"
+ISSUE_REFERENCE = rf"{WS}#{DIGIT}+{WS}"
 LINK = rf"(?d){WS}\[(.*?)\]\((.*?)\){WS}"
 IMAGE = rf'(?d){WS}!\[[^\]]*\]\((.*?){WS}*("(?:.*[^"])")?{WS}*\){WS}'
 CODE_MARK = r"``|```"
@@ -87,6 +90,11 @@ HTML_IMG = r"<img[^>]*>"
 HTML_TAG = r"<[^>]+>"
 IMAGE_TOKEN = " IMAGE_TOKEN "
 
+# Links of issue text before rendering: fences and code spans are not rendered;
+# an inline link or image, its target, and an autolink.
+CODE_SPAN = r"`[^`\n]*`"
+MARKDOWN_LINK = r"!?\[[^\[\]]*\]\([ \t\n]*<?([^ \t\n()<>]+)>?(?:[ \t\n]+[^()]*)?\)|<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^ \t\n<>]*)>"
+
 # Sentence boundary rule (stands in for a trained sentence splitter).
 SENTENCE_END = r"[.!?]+[ \t\n\r\f]+"
 

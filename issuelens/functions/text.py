@@ -1,9 +1,9 @@
 """Text cleaners, predicates, tokenisers and hand-made counts as Column
 expressions (F1-F10, F12, F18, P5, P9-P12).
 
-Everything here is a built-in Spark expression (regex functions and
-higher-order array functions), so it runs inside whole-stage code generation
-over whole texts; no Python runs per row.
+Everything here is a built-in Spark expression, so it runs in the JVM over whole
+texts; no Python runs per row.  Regex functions are code-generated; higher-order
+array functions (``filter``, ``transform``, ``exists``, ``aggregate``) are interpreted.
 """
 
 from __future__ import annotations
@@ -137,6 +137,14 @@ def extract_links(html) -> Column:
     return regex_all(html, P.HTML_LINK, 1)
 
 
+def extract_markdown_links(text) -> Column:
+    """F8 on issue text: targets of the links that rendering would make, in order;
+    images, and links inside fences or code spans, are none."""
+    rendered = F.regexp_replace(F.regexp_replace(_col(text), P.FENCE, ""), P.CODE_SPAN, "")
+    found = F.filter(regex_all(rendered, P.MARKDOWN_LINK), lambda m: ~m.startswith("!"))
+    return F.transform(found, lambda m: F.concat(F.regexp_extract(m, P.MARKDOWN_LINK, 1), F.regexp_extract(m, P.MARKDOWN_LINK, 2)))
+
+
 def html_to_text(html) -> Column:
     """images become `` IMAGE_TOKEN ``, then tags are stripped (entities kept)."""
     return F.regexp_replace(F.regexp_replace(_col(html), P.HTML_IMG, P.IMAGE_TOKEN), P.HTML_TAG, "")

@@ -4,9 +4,10 @@ Duplicates are whitelisted posts of one repo with equal (body, title).  Groups
 are formed on a SHA-256 of the length-prefixed texts, so the shuffle carries
 32-byte keys instead of whole texts.  A group's ids are never collected:
 group statistics come from a map-side-combined aggregate, and the ids of
-conflicting groups are found by joining the rows back to the (small or
-broadcast-checked) set of conflicting group keys.  A hot group holding a third
-of all rows therefore costs no single task more than its share.
+conflicting groups are found by joining the rows back to the set of conflicting
+group keys.  Adaptive execution picks the join by the side's measured bytes and
+splits hot keys, so a group holding a third of all rows costs no single task
+more than its share.
 """
 
 from __future__ import annotations
@@ -17,16 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .joins import bounded_broadcast
 from .labels import whitelist_labels
 
 
 def text_key(cols: Sequence[str] = ("body", "title")) -> Column:
-    """Unambiguous content key: sha256 of length-prefixed fields."""
+    """Unambiguous content key: sha256 of length-prefixed fields; null is not the empty text."""
     parts = []
     for c in cols:
-        v = F.coalesce(F.col(c), F.lit(""))
-        parts += [F.length(v).cast("string"), F.lit(":"), v]
+        length = F.coalesce(F.length(c).cast("string"), F.lit("null"))
+        parts += [length, F.lit(":"), F.coalesce(F.col(c), F.lit(""))]
     return F.sha2(F.concat(*parts), 256)
 
 
@@ -55,18 +55,17 @@ def bad_ids(issues: DataFrame, whitelist: Iterable[str], keep_one: bool = False)
     groups = duplicate_groups(issues, whitelist)
     if not keep_one:
         agreeing = groups.filter(~F.col("conflicting")).select("repo", F.col("min_id").alias("id"))
-        conflict_keys = bounded_broadcast(groups.filter(F.col("conflicting")).select("repo", "_key"),
-                                          materialize=True)
+        conflict_keys = groups.filter(F.col("conflicting")).select("repo", "_key")
         conflicting = keyed.join(conflict_keys, ["repo", "_key"], "left_semi").select("repo", "id")
         return agreeing.unionByName(conflicting).distinct()
-    keys = bounded_broadcast(groups.select("repo", "_key", "min_id", "conflicting"), materialize=True)
+    keys = groups.select("repo", "_key", "min_id", "conflicting")
     rows = keyed.join(keys, ["repo", "_key"], "inner")
     return rows.filter(F.col("conflicting") | (F.col("id") != F.col("min_id"))).select("repo", "id").distinct()
 
 
 def remove_duplicates(issues: DataFrame, bad: DataFrame) -> DataFrame:
     """Drop every post (whitelisted or not) whose id is bad (anti join)."""
-    return issues.join(bounded_broadcast(bad.select("id"), materialize=True), "id", "left_anti")
+    return issues.join(bad.select("id"), "id", "left_anti")
 
 
 def write_bad_ids(bad: DataFrame, path: str) -> None:

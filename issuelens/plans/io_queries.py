@@ -33,6 +33,12 @@ def _write_dump(spark: SparkSession, df: DataFrame, name: str) -> str:
     return path
 
 
+def _repo_numbers(issues: DataFrame) -> DataFrame:
+    """Issue numbers as the API gives them: counted per repo, so they repeat across repos."""
+    number = (F.col("id") + 7 * F.substring("repo", 5, 9).cast("bigint")).cast("string")
+    return issues.withColumn("url", F.concat(F.lit("https://api.example.com/repos/"), F.col("repo"), F.lit("/issues/"), number))
+
+
 def _labelled_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
 
@@ -40,6 +46,7 @@ def _labelled_ids(spark: SparkSession, sf: str) -> DataFrame:
 _WL = ", ".join(O.q(w) for w in labels.whitelist())
 _LABELLER_X = O.clean(O.concat_features(trailing=False), R.T.LABELLER_STEPS)
 _NAME_SQL = "case pred " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(R.LABEL_NAMES)) + " end"
+_REPO_URL = "concat('https://api.example.com/repos/', repo, '/issues/', cast(id + 7 * cast(substr(repo, 5) as bigint) as varchar))"
 _UNLABELLED = "not exists (select 1 from labels l where l.doc_id = i.id)"
 
 
@@ -99,8 +106,8 @@ def scrape_spec(spark: SparkSession, sf: str) -> DataFrame:
 
 def _raw_frame(issues: DataFrame) -> DataFrame:
     """Raw API-shaped issues: every tenth is a pull request; every fifth also
-    carries a ``triage`` label."""
-    label_structs = F.filter(F.array(F.struct(F.col("labels").alias("name")),
+    carries a ``triage`` label; some carry no other label."""
+    label_structs = F.filter(F.array(F.when(F.col("id") % 7 != 3, F.struct(F.col("labels").alias("name"))),
                                      F.when(F.col("id") % 5 == 0, F.struct(F.lit("triage").alias("name")))),
                              lambda x: x.isNotNull())
     return issues.select(
@@ -110,9 +117,8 @@ def _raw_frame(issues: DataFrame) -> DataFrame:
 
 
 @register("normalise_dump", "S4", W(O.base_ctes(), f"""
-select repo, id, title, body, labels from issues where id % 10 <> 9 and repo <> '{NO_FILTER_REPO}' and labels in ({_WL})
-union all select repo, id, title, body, labels from issues where id % 10 <> 9 and repo = '{NO_FILTER_REPO}'
-union all select repo, id, title, body, 'triage' from issues where id % 10 <> 9 and repo = '{NO_FILTER_REPO}' and id % 5 = 0"""))
+select repo, id, title, body, labels from issues where id % 10 <> 9 and repo <> '{NO_FILTER_REPO}' and id % 7 <> 3 and labels in ({_WL})
+union all select repo, id, title, body, cast(null as varchar) from issues where id % 10 <> 9 and repo = '{NO_FILTER_REPO}'"""))
 def normalise_dump(spark: SparkSession, sf: str) -> DataFrame:
     raw_path = scratch_path(spark, "raw")
     _raw_frame(C.issues(spark, sf)).write.mode("overwrite").partitionBy("repo").json(raw_path)
@@ -169,30 +175,37 @@ def recent_since(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("label_sink", "S9", W(O.base_ctes(), f"""
-select issue_num, label from (
-  select {O.issue_number('url')} as issue_num, {_NAME_SQL} as label
-  from (select url, {O.keyword_pred(_LABELLER_X)} as pred from issues i where {_UNLABELLED}))
+select repo, issue_num, label from (
+  select repo, {O.issue_number(_REPO_URL)} as issue_num, {_NAME_SQL} as label
+  from (select id, repo, {O.keyword_pred(_LABELLER_X)} as pred from issues i where {_UNLABELLED}))
 where label is not null"""))
 def label_sink(spark: SparkSession, sf: str) -> DataFrame:
-    todo = io.unlabelled_only(C.issues(spark, sf), _labelled_ids(spark, sf))
+    """Issue numbers repeat across repos here, as they do in reality."""
+    todo = _repo_numbers(io.unlabelled_only(C.issues(spark, sf), _labelled_ids(spark, sf)))
     pred = keyword.keyword_classify(R.labeller_text())
-    named = todo.select(T.issue_number("url").alias("issue_num"), T.label_name(pred, R.LABEL_NAMES).alias("label"))
+    named = todo.select("repo", T.issue_number("url").alias("issue_num"), T.label_name(pred, R.LABEL_NAMES).alias("label"))
     path = scratch_path(spark, "labels_sink")
     io.append_labels(named, path)
-    return io.read_sink(spark, path)
+    return io.read_sink(spark, path).drop("bucket")
 
 
 @register("incremental_labelling", "R1", W(O.base_ctes(), f"""
-select issue_num, label from (
-  select {O.issue_number('url')} as issue_num, {_NAME_SQL} as label
-  from (select url, {O.keyword_pred(_LABELLER_X)} as pred from issues i
-        where {_UNLABELLED} and id % 10 <> 9
+select repo, issue_num, label from (
+  select repo, {O.issue_number(_REPO_URL)} as issue_num, {_NAME_SQL} as label
+  from (select id, repo, {O.keyword_pred(_LABELLER_X)} as pred from issues i
+        where {_UNLABELLED} and id % 10 <> 9 and id % 11 <> 5
           and updated_s >= (select max(updated_s) from issues) - {RECENT_SECONDS}))
 where label is not null"""))
 def incremental_labelling(spark: SparkSession, sf: str) -> DataFrame:
     """Two stream runs: the first sees the even ids, the second the odd ids
-    plus a later (edited) snapshot of every even id, which must be skipped."""
-    snaps = R.issue_snapshots(C.issues(spark, sf), tables.read_table(spark, sf, "labels"))
+    plus a later (edited) snapshot of every even id, which must be skipped.
+    Some issues also have an earlier state or a later, labelled one in the same
+    batch: only the latest counts.  Numbers repeat across repos."""
+    snaps = R.issue_snapshots(_repo_numbers(C.issues(spark, sf)), tables.read_table(spark, sf, "labels"))
+    named = snaps.filter(F.col("id") % 11 == 5).withColumn("updated_s", F.col("updated_s") + 2).withColumn(
+        "label_names", F.array(F.lit("done")))
+    early = snaps.filter(F.col("id") % 3 == 0).withColumn("updated_s", F.col("updated_s") - 1).withColumn("title", F.lit("panic"))
+    snaps = snaps.unionByName(named).unionByName(early)
     as_of = _as_of(C.issues(spark, sf))
     source, sink, ckpt = (scratch_path(spark, n) for n in ("snapshots", "labels_sink", "stream_ckpt"))
     snaps.filter(F.col("id") % 2 == 0).write.mode("append").parquet(source)
@@ -200,4 +213,4 @@ def incremental_labelling(spark: SparkSession, sf: str) -> DataFrame:
     later = snaps.filter(F.col("id") % 2 == 0).withColumn("updated_s", F.col("updated_s") + 1)
     snaps.filter(F.col("id") % 2 == 1).unionByName(later).write.mode("append").parquet(source)
     R.run_incremental(spark, source, sink, ckpt, as_of, RECENT_SECONDS)
-    return io.read_sink(spark, sink)
+    return io.read_sink(spark, sink).drop("bucket")

@@ -1,8 +1,8 @@
 """Catalog queries: word vectors, scores and their decoding, threshold sweep.
 
-The ``embeddings`` table serves twice: as the word-vector table (a word's
-vector id is ``md5(word)[0:4] as hex mod 1000``), and as given classifier
-scores (the first three elements, scaled by 10, with ``label % 3`` as truth).
+The ``embeddings`` table is the word-vector table: a word's vector id is the first
+15 hex digits of its md5, modulo twice the number of vectors.  Scores are the
+keyword hits of the held-out issues, with their label as truth.
 """
 
 from __future__ import annotations
@@ -12,18 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import evaluate, vectors
+from ..operators import evaluate, keyword, vectors
+from ..operators.models import THRESHOLDS
 from ..sources import tables
+from ..streaming.incremental import LABEL_NAMES
 from . import common as C
 from . import oracle as O
 from .catalog import register
 from .corpus_queries import _sentences_sql, handcrafted_frame, handcrafted_values_sql
 
 W = O.with_ctes
-SCALE = 10.0
-THRESHOLDS = (0.33, 0.4, 0.5)
-LOGIT_CONFIDENCE = 0.1
-LABEL_NAMES = ("feature", "bug", "documentation")
+LOGIT_CONFIDENCE = 2
 
 
 def _emb(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +32,7 @@ def _emb(spark: SparkSession, sf: str) -> DataFrame:
 # --- SQL pieces -----------------------------------------------------------------------
 
 def _vec_id_sql(tok: str) -> str:
-    return f"(cast('0x' || substr(md5({tok}), 1, 4) as integer) % {vectors.VOCAB_MODULUS})"
+    return f"(cast('0x' || substr(md5({tok}), 1, 15) as bigint) % (select 2 * count(*) from embeddings))"
 
 
 _NORM = ("nv", "select vec_id, case when nrm > 0 then list_transform(e, lambda x: x / nrm) else e end as vec "
@@ -70,8 +69,8 @@ from ds d left join (select id, sum(w) as n_known from b_hits where vec_id in (s
 def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
     ds = C.dataset(spark, sf)
     emb = _emb(spark, sf)
-    hits = vectors.lookup(ds, F.col("body"), ["id"], vectors.vector_table(emb, True), vectors.embedding_dim(emb))
-    known = hits.groupBy("id").agg(F.sum("w").cast("bigint").alias("n_known"))
+    hits = vectors.lookup(ds, F.col("body"), ["id"], vectors.vector_table(emb, True), vectors.table_shape(emb)[1])
+    known = hits.groupBy("id").agg(F.count(F.lit(1)).alias("n_known"))
     return (ds.select("id", F.size(T.vector_tokens("body")).alias("n_tokens")).join(known, "id", "left")
             .select("id", "n_tokens", F.coalesce("n_known", F.lit(0)).cast("bigint").alias("n_known")))
 
@@ -80,7 +79,7 @@ def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
                                               _long_select("ds", "b_mean")))
 def normalised_vector_mean(spark: SparkSession, sf: str) -> DataFrame:
     emb = _emb(spark, sf)
-    v = vectors.normalised_vector_mean(C.dataset(spark, sf), F.col("body"), emb, vectors.embedding_dim(emb))
+    v = vectors.normalised_vector_mean(C.dataset(spark, sf), F.col("body"), emb, *vectors.table_shape(emb))
     return vectors.long_form(v, "vector", ["id"])
 
 
@@ -96,7 +95,7 @@ def _sentence_ctes(src: str, text: str, prefix: str) -> list[tuple[str, str]]:
                                        _long_select("ds", "p_mean")))
 def nan_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     emb = _emb(spark, sf)
-    v = vectors.sentence_vector_mean(C.dataset(spark, sf), T.remove_markdown("body"), emb, vectors.embedding_dim(emb))
+    v = vectors.sentence_vector_mean(C.dataset(spark, sf), T.remove_markdown("body"), emb, *vectors.table_shape(emb))
     return vectors.long_form(v, "vector", ["id"])
 
 
@@ -107,10 +106,10 @@ def nan_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     + _long_select("ds", "t_mean", extra=", 'title' as part")))
 def sentence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     emb = _emb(spark, sf)
-    dim = vectors.embedding_dim(emb)
+    shape = vectors.table_shape(emb)
     ds = C.dataset(spark, sf)
-    body = vectors.sentence_vector_mean(ds, T.remove_markdown("body"), emb, dim).withColumn("part", F.lit("body"))
-    title = vectors.text_mean_vector(ds, T.remove_markdown("title"), emb, dim).withColumn("part", F.lit("title"))
+    body = vectors.sentence_vector_mean(ds, T.remove_markdown("body"), emb, *shape).withColumn("part", F.lit("body"))
+    title = vectors.text_mean_vector(ds, T.remove_markdown("title"), emb, *shape).withColumn("part", F.lit("title"))
     return vectors.long_form(body.unionByName(title), "vector", ["id", "part"])
 
 
@@ -120,10 +119,10 @@ def sentence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     "select id, dim as pos, value from bl union all select id, cast(dim + (select d from dm) as integer) as pos, value from tl"))
 def combine_features(spark: SparkSession, sf: str) -> DataFrame:
     emb = _emb(spark, sf)
-    dim = vectors.embedding_dim(emb)
+    shape = vectors.table_shape(emb)
     ds = C.dataset(spark, sf)
-    body = vectors.normalised_vector_mean(ds, F.col("body"), emb, dim).withColumnRenamed("vector", "b")
-    title = vectors.normalised_vector_mean(ds, F.col("title"), emb, dim).withColumnRenamed("vector", "t")
+    body = vectors.normalised_vector_mean(ds, F.col("body"), emb, *shape).withColumnRenamed("vector", "b")
+    title = vectors.normalised_vector_mean(ds, F.col("title"), emb, *shape).withColumnRenamed("vector", "t")
     both = body.join(title, "id", "inner").select("id", F.concat("b", "t").alias("features"))
     return vectors.long_form(both, "features", ["id"]).withColumnRenamed("dim", "pos")
 
@@ -144,15 +143,17 @@ def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.long_form(t, "vec", ["vec_id"])
 
 
-# --- given scores (T7, F14-F17, M9) ---------------------------------------------------
+# --- scores of the held-out issues (T7, F14-F17, M9) -------------------------------------
 
-def _scores():
-    return F.transform(F.slice(F.col("embedding"), 1, 3).cast("array<double>"), lambda x: x * F.lit(SCALE))
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, label, s)``: keyword hits [bug, doc, feature] of every test issue's whole text."""
+    te = C.test_sets(spark, sf)
+    return te.select("id", "label", keyword.keyword_scores(F.col("X")).cast("array<double>").alias("s"))
 
 
-_SC = ("sc0", f"select vec_id, label % 3 as truth, list_transform(cast(embedding[1:3] as double[]), lambda x: x * {SCALE}) as s "
-              "from embeddings")
-_SM = ("smx", "select *, list_transform(s, lambda x: exp(x - list_max(s)) / list_sum(list_transform(s, lambda y: exp(y - list_max(s))))) as p from sc0")
+_SC = C.ctes_test() + [("sc0", "select id, label, cast([" + ", ".join(
+    O.count("X", p) for p in keyword.keyword_patterns()) + "] as double[]) as s from te")]
+_SM = _SC + [("smx", "select *, list_transform(s, lambda x: exp(x - list_max(s)) / list_sum(list_transform(s, lambda y: exp(y - list_max(s))))) as p from sc0")]
 
 
 def _argmax_sql(s: str) -> str:
@@ -164,57 +165,54 @@ def _decode_sql(s: str, t: float, strict: bool) -> str:
     return f"(case when list_max({s}) {op} {t} then {_argmax_sql(s)} else -1 end)"
 
 
-@register("argmax_class", "T7", W([_SC], f"select vec_id, {_argmax_sql('s')} as pred from sc0"))
+@register("argmax_class", "T7", W(_SC, f"select id, {_argmax_sql('s')} as pred from sc0"))
 def argmax_class(spark: SparkSession, sf: str) -> DataFrame:
-    return _emb(spark, sf).select("vec_id", T.argmax(_scores()).alias("pred"))
+    return _scored(spark, sf).select("id", T.argmax("s").alias("pred"))
 
 
-@register("softmax", "F14", W([_SC, _SM], """
-select vec_id, round(p[1], 6) as p0, round(p[2], 6) as p1, round(p[3], 6) as p2,
+@register("softmax", "F14", W(_SM, """
+select id, round(p[1], 6) as p0, round(p[2], 6) as p1, round(p[3], 6) as p2,
   round(list_transform(p, lambda x: exp(x - list_max(p)) / list_sum(list_transform(p, lambda y: exp(y - list_max(p)))))[1], 6) as p0_double
 from smx"""))
 def softmax(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.softmax(_scores())
-    return _emb(spark, sf).select("vec_id", *[F.round(p[i], 6).alias(f"p{i}") for i in range(3)],
-                                  F.round(T.double_softmax(_scores())[0], 6).alias("p0_double"))
+    p = T.softmax("s")
+    return _scored(spark, sf).select("id", *[F.round(p[i], 6).alias(f"p{i}") for i in range(3)],
+                                     F.round(T.double_softmax("s")[0], 6).alias("p0_double"))
 
 
-@register("decode_logits", "F15", W([_SC], f"""
-select vec_id, {_decode_sql('s', -10, True)} as pred_argmax, {_decode_sql('s', LOGIT_CONFIDENCE, True)} as pred from sc0"""))
+@register("decode_logits", "F15", W(_SC, f"""
+select id, {_decode_sql('s', -10, True)} as pred_argmax, {_decode_sql('s', LOGIT_CONFIDENCE, True)} as pred from sc0"""))
 def decode_logits(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scores()
-    return _emb(spark, sf).select("vec_id", T.decode(s, -10, True).alias("pred_argmax"),
-                                  T.decode(s, LOGIT_CONFIDENCE, True).alias("pred"))
+    return _scored(spark, sf).select("id", T.decode("s", -10, True).alias("pred_argmax"),
+                                     T.decode("s", LOGIT_CONFIDENCE, True).alias("pred"))
 
 
-@register("decode_probabilities", "F16", W([_SC, _SM], "select vec_id, " + ", ".join(
+@register("decode_probabilities", "F16", W(_SM, "select id, " + ", ".join(
     f"{_decode_sql('p', t, False)} as pred_{str(t).replace('.', '')}" for t in THRESHOLDS) + " from smx"))
 def decode_probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.softmax(_scores())
-    return _emb(spark, sf).select("vec_id", *[T.decode(p, t, False).alias(f"pred_{str(t).replace('.', '')}")
-                                              for t in THRESHOLDS])
+    p = _scored(spark, sf).select("id", T.softmax("s").alias("p"))
+    return p.select("id", *[T.decode("p", t, False).alias(f"pred_{str(t).replace('.', '')}") for t in THRESHOLDS])
 
 
-@register("label_name", "F17", W([_SC], f"""
-select vec_id, case {_decode_sql('s', LOGIT_CONFIDENCE, True)} """ + " ".join(
+@register("label_name", "F17", W(_SC, f"""
+select id, case {_decode_sql('s', LOGIT_CONFIDENCE, True)} """ + " ".join(
     f"when {i} then '{n}'" for i, n in enumerate(LABEL_NAMES)) + " end as label_name from sc0"))
 def label_name(spark: SparkSession, sf: str) -> DataFrame:
-    pred = T.decode(_scores(), LOGIT_CONFIDENCE, True)
-    return _emb(spark, sf).select("vec_id", T.label_name(pred, LABEL_NAMES).alias("label_name"))
+    pred = T.decode("s", LOGIT_CONFIDENCE, True)
+    return _scored(spark, sf).select("id", T.label_name(pred, LABEL_NAMES).alias("label_name"))
 
 
 def _sweep_sql() -> str:
     th = ", ".join(str(t) for t in THRESHOLDS)
-    src = ("sw", f"select cast(t as double) as threshold, truth, {_decode_sql('p', 't', False)} as pred from smx, unnest([{th}]::double[]) u(t)")
-    mctes, body = O.metrics_body("sw", by=["threshold"], truth="truth")
-    return W([_SC, _SM, src] + mctes, body)
+    src = ("sw", f"select cast(t as double) as threshold, label, {_decode_sql('p', 't', False)} as pred from smx, unnest([{th}]::double[]) u(t)")
+    mctes, body = O.metrics_body("sw", by=["threshold"])
+    return W(_SM + [src] + mctes, body)
 
 
 @register("threshold_sweep", "M9", _sweep_sql())
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.softmax(_scores())
-    rows = _emb(spark, sf).select((F.col("label") % 3).alias("truth"), p.alias("p"))
-    swept = rows.select("truth", "p", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
+    rows = _scored(spark, sf).select("label", T.softmax("s").alias("p"))
+    swept = rows.select("label", "p", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
     passed = F.array_max("p") >= F.col("threshold")
     swept = swept.withColumn("pred", F.when(passed, T.argmax("p")).otherwise(F.lit(-1)))
-    return evaluate.classification_metrics(swept, "truth", "pred", by=["threshold"])
+    return evaluate.classification_metrics(swept, "label", "pred", by=["threshold"])

@@ -39,12 +39,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to shared storage; it is only filled in
-    here (with a fresh local folder) when unset, which is the local-test case.
+    On a cluster the operator sets it to shared storage.  Where it is unset, a
+    fresh local folder is made on a ``local`` master only; on any other master
+    executors would write to disks that nobody else sees, so this raises.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="issuelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.joins import bounded_broadcast
 
 # Issue dump records (id is present after id assignment).
 DUMP_SCHEMA = "title STRING, body STRING, labels STRING, id BIGINT"
@@ -36,16 +35,19 @@ def repo_from_path(pattern: str = REPO_FROM_FOLDER) -> Column:
 
 
 def scan_issues(spark: SparkSession, paths: str | Sequence[str], schema: str | StructType = DUMP_SCHEMA,
-                repo_pattern: str = REPO_FROM_FOLDER, json_array: bool = False) -> DataFrame:
+                repo_pattern: str = REPO_FROM_FOLDER, json_array: bool = False, mode: str = "FAILFAST") -> DataFrame:
     """Read issue dumps; the repo name comes from each file's path.
 
     ``json_array=True`` reads files that hold one JSON array of records (the
     reference's dump format; each file is then one split, so keep files per
     repo moderate); the default reads JSON Lines, which splits freely.
     Partition discovery is off so the repo comes only from ``repo_pattern``.
+    A record that is not valid JSON fails the read: a null row in its place
+    would lose an issue, or a whole array file, without a trace.  ``mode``
+    ("PERMISSIVE", "DROPMALFORMED") opts out of that.
     """
     reader = (spark.read.schema(schema).option("multiLine", json_array)
-              .option("recursiveFileLookup", True).option("mode", "PERMISSIVE"))
+              .option("recursiveFileLookup", True).option("mode", mode))
     df = reader.json(list(paths) if not isinstance(paths, str) else paths)
     return df.withColumn("repo", repo_from_path(repo_pattern))
 
@@ -66,28 +68,28 @@ def write_issues_json(df: DataFrame, path: str) -> str:
 
 def read_scrape_specs(spark: SparkSession, path: str) -> DataFrame:
     """S3: one row per (repo, wanted label); an empty list means no label
-    filter and gives one row with a null label; malformed records are kept
-    in ``_corrupt_record`` (PERMISSIVE) and dropped here."""
+    filter and gives one row with a null label.  A malformed record, or one
+    without a repo, fails the read: without its spec every issue of that repo
+    would silently disappear from ``normalise_dump``."""
     specs = (spark.read.schema(SPEC_SCHEMA).option("mode", "PERMISSIVE")
              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    # Cache-free guard: Spark forbids queries on only the corrupt column of a raw
-    # JSON scan, so the filter below also reads ``repo``.
-    ok = specs.filter(F.col("_corrupt_record").isNull() & F.col("repo").isNotNull())
-    return ok.select("repo", F.explode_outer("desired_labels").alias("desired_label"))
+    bad = F.col("_corrupt_record").isNotNull() | F.col("repo").isNull()
+    message = F.concat(F.lit("malformed scrape spec: "), F.coalesce("_corrupt_record", F.lit("no repo")))
+    checked = specs.withColumn("repo", F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("repo")))
+    return checked.select("repo", F.explode_outer("desired_labels").alias("desired_label"))
 
 
 def normalise_dump(raw: DataFrame, specs: DataFrame) -> DataFrame:
-    """Drop pull requests, fan each issue out to one row per label name
-    that the repo's spec asks for (all labels when the spec has no filter).
-
-    ``specs`` is configuration-sized; it is broadcast behind a size check.
+    """Drop pull requests; per label that the repo's spec asks for, every
+    issue that carries it, with that label.  A spec without a filter asks once
+    for all issues: each comes out once, with a null label, whether or not it
+    carries any.  A label named twice on an issue counts once.
     """
     issues = raw.filter(F.col("pull_request").isNull())
-    names = issues.select("repo", "id", "title", "body",
-                          F.explode(F.transform("labels", lambda l: l["name"])).alias("label"))
-    s = bounded_broadcast(specs.select(F.col("repo").alias("_s_repo"), F.col("desired_label").alias("_s_label")))
-    cond = (names["repo"] == s["_s_repo"]) & (s["_s_label"].isNull() | (names["label"] == s["_s_label"]))
-    return names.join(s, cond, "inner").select("repo", "id", "title", "body", F.col("label").alias("labels"))
+    names = F.array_distinct(F.transform("labels", lambda l: l["name"]))
+    rows = issues.join(specs.select("repo", "desired_label"), "repo")
+    wanted = F.col("desired_label").isNull() | F.array_contains(names, F.col("desired_label"))
+    return rows.filter(wanted).select("repo", "id", "title", "body", F.col("desired_label").alias("labels"))
 
 
 def write_dataset(df: DataFrame, path: str, partition_cols: Sequence[str] = ("split", "repo")) -> str:
@@ -112,27 +114,38 @@ def write_metrics_report(report: DataFrame, path: str) -> str:
     return path
 
 
+SINK_SCHEMA = "issue_num BIGINT, label STRING, repo STRING, bucket INT"
+SINK_BUCKETS = 64   # folders per repo: an issue's folder is its number modulo this
+
+
 def read_sink(spark: SparkSession, path: str) -> DataFrame | None:
-    """The label sink table, or None before its first write."""
+    """The label sink ``(repo, issue_num, label)``, or None before its first
+    write.  Only a missing path counts as that; any other problem raises."""
     try:
-        return spark.read.schema("issue_num BIGINT, label STRING").parquet(path)
-    except AnalysisException:
+        return spark.read.schema(SINK_SCHEMA).parquet(path).select("repo", "issue_num", "label", "bucket")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def append_labels(labelled: DataFrame, path: str) -> None:
-    """Append ``(issue_num, label)`` rows.  Rows with a null label (the
-    classifier abstained, Q10) are not written; an issue appears once per
-    batch (callers pass one row per issue; should two labels arrive, the
-    smallest name is kept, so the result never depends on task order); issues
-    already in the sink are skipped (anti join on the key), so a replayed
-    batch appends nothing twice."""
+    """Append ``(repo, issue_num, label)`` rows; issue numbers are per repo,
+    so the key is both.  Rows with a null label (the classifier abstained, Q10)
+    are not written; an issue appears once per batch (callers pass one row per
+    issue; should two labels arrive, the smallest name is kept, so the result
+    never depends on task order); issues already in the sink are skipped (anti
+    join on the key), so a replayed batch appends nothing twice.  The sink is
+    partitioned by repo and number bucket, which the anti join also carries, so
+    a batch reads the folders of its own issues where Spark prunes them."""
     rows = (labelled.filter(F.col("label").isNotNull())
-            .groupBy("issue_num").agg(F.min("label").alias("label")))
+            .groupBy("repo", "issue_num").agg(F.min("label").alias("label"))
+            .withColumn("bucket", F.pmod("issue_num", F.lit(SINK_BUCKETS)).cast("int")))
     done = read_sink(labelled.sparkSession, path)
     if done is not None:
-        rows = rows.join(done.select("issue_num"), "issue_num", "left_anti")
-    rows.write.mode("append").parquet(path)
+        keys = ["repo", "bucket", "issue_num"]
+        rows = rows.join(done.select(*keys), keys, "left_anti")
+    rows.write.mode("append").partitionBy("repo", "bucket").parquet(path)
 
 
 def unlabelled_only(issues: DataFrame, labelled: DataFrame | None = None, id_col: str = "id",

@@ -40,28 +40,22 @@ ISSUE_COLUMNS: tuple[tuple[str, str], ...] = (
     ("updated_s", "1704067200 + doc_id * 60"),
 )
 
-ISSUES_SCHEMA = "repo STRING, id BIGINT, title STRING, body STRING, labels STRING, url STRING, updated_s BIGINT"
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over all cores when it has fewer splits than cores.
-
-    A file with one row group is one scan task, and the text work after it
-    (regexes over whole documents) would run on one core.  Large inputs have
-    at least as many splits as cores, so this is a no-op for them; filters
-    and column pruning still reach the scan below the repartition.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+# Session setting: deal a scanned table out to this many partitions.  Unset (the
+# default) the scan stays as it is; the bench and the tests set it, because their
+# files hold one row group each and would be read by a single task.
+SPREAD_SETTING = "issuelens.scan.spread"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spread(spark.read.parquet(table_path(sf_dir, name)))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    spread = spark.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def issues_from_documents(documents: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A Structured Streaming job over a folder of issue snapshots (file source,
 explicit schema).  Each micro-batch runs the labeller's steps as one set of
-Column expressions — recent (P8) -> unlabelled (P7) -> no pull requests (Q14)
--> latest snapshot per issue -> clean (F5, labeller order) -> score -> name
-(F17) -> append to the sink (S9).  The sink append is an anti join on the
-issue number, so a replayed batch or a second run labels nothing twice, and
-the checkpoint records which snapshot files were consumed.  Runs with
-``trigger(availableNow=True)`` (one pass over what is there, then stop) or any
-processing-time trigger.
+Column expressions — latest snapshot per issue -> recent (P8) -> unlabelled
+(P7) -> no pull requests (Q14) -> clean (F5, labeller order) -> score -> name
+(F17) -> append to the sink (S9).  Only an issue's current state counts, so the
+latest snapshot is picked before anything is filtered.  Issues are keyed by
+repo and number.  The sink append is an anti join on that key, so a replayed
+batch or a second run labels nothing twice, and the checkpoint records which
+snapshot files were consumed.  Runs once over what is there
+(``availableNow``) or, with ``interval``, on a processing-time trigger; the
+clock is read per batch.
 """
 
 from __future__ import annotations
@@ -44,38 +46,50 @@ def label_batch(batch: DataFrame, sink_path: str, as_of: float, delta_seconds: f
                 scorer: Scorer = keyword_scorer, names: Sequence[str | None] = LABEL_NAMES,
                 include_pull_requests: bool = False) -> None:
     """Label one batch of snapshots and append new labels to the sink."""
-    rows = io.recent_since(batch, "updated_s", as_of, delta_seconds)
+    # An issue edited twice inside one batch: keep its latest snapshot (ties on
+    # the update time: a labelled or pull-request state wins, then the text
+    # decides, so the choice never depends on task order).  A partial
+    # aggregate, so a hot issue costs one row per map task.
+    state = F.struct("updated_s", F.coalesce(F.size("label_names"), F.lit(0)).alias("n_labels"), "pull_request",
+                     "title", "body", "label_names")
+    latest = (batch.withColumn("issue_num", T.issue_number("url"))
+              .groupBy("repo", "issue_num").agg(F.max(state).alias("s"))
+              .select("repo", "issue_num", "s.*"))
+    rows = io.recent_since(latest, "updated_s", as_of, delta_seconds)
     rows = io.unlabelled_only(rows, labels_col="label_names")
     if not include_pull_requests:
         rows = rows.filter(F.col("pull_request").isNull())
-    # An issue edited twice inside one batch: keep its latest snapshot (ties on
-    # the update time broken by the text, so the choice never depends on task
-    # order).  A partial aggregate, so a hot issue costs one row per map task.
-    latest = (rows.withColumn("issue_num", T.issue_number("url"))
-              .groupBy("issue_num")
-              .agg(F.max(F.struct("updated_s", "title", "body")).alias("s"))
-              .select("issue_num", "s.title", "s.body"))
-    scored = scorer(latest.withColumn("X", labeller_text()))
-    io.append_labels(scored.select("issue_num", T.label_name("pred", names).alias("label")), sink_path)
+    scored = scorer(rows.withColumn("X", labeller_text()))
+    io.append_labels(scored.select("repo", "issue_num", T.label_name("pred", names).alias("label")), sink_path)
 
 
 def run_incremental(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str,
-                    as_of: float, delta_seconds: float, scorer: Scorer = keyword_scorer,
+                    as_of: float | Callable[[], float], delta_seconds: float, scorer: Scorer = keyword_scorer,
                     names: Sequence[str | None] = LABEL_NAMES, include_pull_requests: bool = False,
-                    max_files_per_trigger: int | None = None) -> None:
-    """Run the stream once over every snapshot file not yet consumed."""
+                    max_files_per_trigger: int | None = None, interval: str | None = None,
+                    stop_after: float | None = None) -> None:
+    """Run the stream over every snapshot file not yet consumed.
+
+    ``as_of`` is the clock: a fixed time (reruns are deterministic) or a
+    function that each batch calls.  Without ``interval`` the stream stops when
+    all files are consumed; with it, it runs on until ``stop_after`` seconds.
+    """
+    clock = as_of if callable(as_of) else lambda: as_of
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
 
     def each(batch: DataFrame, _batch_id: int) -> None:
-        label_batch(batch, sink_path, as_of, delta_seconds, scorer, names, include_pull_requests)
-
-    query = (stream.writeStream.foreachBatch(each)
-             .option("checkpointLocation", checkpoint_path)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+        label_batch(batch, sink_path, clock(), delta_seconds, scorer, names, include_pull_requests)
+
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_path)
+    query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    if interval and stop_after is not None:
+        query.awaitTermination(stop_after)
+        query.stop()
+    else:
+        query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
 

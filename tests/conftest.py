@@ -16,6 +16,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from issuelens.session import build_session
     s = build_session(master="local[*]", shuffle_partitions=8, app="issuelens-tests")
+    from issuelens.sources.tables import SPREAD_SETTING
+    s.conf.set(SPREAD_SETTING, "8")
     yield s
     s.stop()
 

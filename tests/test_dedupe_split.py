@@ -50,3 +50,33 @@ def test_assign_ids_dense(spark):
     out = dedupe.assign_ids(df, ["repo", "k"], num_partitions=5)
     rows = sorted((r["k"], r["seq_id"]) for r in out.collect())
     assert [s for _, s in rows] == list(range(1000))
+
+
+def test_null_body_is_not_the_empty_body(spark):
+    rows = spark.createDataFrame([("r", 1, "t", None, "L"), ("r", 2, "t", "", "L"), ("r", 3, "t", "", "L")],
+                                 "repo STRING, id BIGINT, title STRING, body STRING, labels STRING")
+    got = dedupe.duplicate_groups(rows, ["L"]).collect()
+    assert [(g["min_id"], g["n_rows"]) for g in got] == [(2, 2)]
+
+
+def test_bad_ids_follow_a_rewritten_input(spark, tmp_path):
+    path = str(tmp_path / "issues")
+
+    def write(second_label):
+        spark.createDataFrame([("r", 1, "t", "b", "L"), ("r", 2, "t", "b", second_label)],
+                              "repo STRING, id BIGINT, title STRING, body STRING, labels STRING").write.mode("overwrite").parquet(path)
+
+    def bad():
+        return sorted(r["id"] for r in dedupe.bad_ids(spark.read.parquet(path), ["L", "M"]).collect())
+
+    write("M")
+    assert bad() == [1, 2]
+    write("L")
+    assert bad() == [1]
+
+
+def test_split_needs_named_groups(spark):
+    import pytest
+    from issuelens.operators import split
+    with pytest.raises(ValueError):
+        split.with_train_flag(spark.range(4).withColumn("g", F.lit("a")), group_col="g")

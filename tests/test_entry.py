@@ -17,4 +17,4 @@ def test_entry_contract(spark):
 def test_model_roundtrip_predictions_equal(spark, sf_small):
     m = importlib.import_module("__spark_entry__")
     rows = m.queries()["model_roundtrip"](spark, sf_small).collect()
-    assert rows and all(r["pred_before"] == r["pred_after"] for r in rows)
+    assert rows and all(r["same"] for r in rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuelens.session import scratch_path
@@ -29,32 +30,83 @@ def test_scrape_specs_empty_and_malformed(spark):
     path = scratch_path(spark, "specs-test")
     _write_text(spark, path, ['{"repo": "rust", "desired_labels": ["C-bug", "T-doc"]}',
                               '{"repo": "openwb", "desired_labels": []}',
-                              '{"repo": "electron", "desired_labels": [bug]}'])
+                              '{"repo": "electron", "desired_labels": ["bug"]}'])
     got = sorted(((r["repo"], r["desired_label"]) for r in io.read_scrape_specs(spark, path).collect()),
                  key=str)
-    assert got == [("openwb", None), ("rust", "C-bug"), ("rust", "T-doc")]
+    assert got == [("electron", "bug"), ("openwb", None), ("rust", "C-bug"), ("rust", "T-doc")]
+    bad = scratch_path(spark, "specs-test")
+    _write_text(spark, bad, ['{"repo": "rust", "desired_labels": ["C-bug"]}', '{"repo": "electron", "desired_labels": [bug]}'])
+    with pytest.raises(Exception, match="malformed scrape spec"):
+        io.read_scrape_specs(spark, bad).collect()
+
+
+def test_broken_dump_fails_the_read(spark, tmp_path):
+    (tmp_path / "rust.json").write_text('[{"title": "t", "body": "b", "labels": "C-bug", "id": 1}, {"title": oops}]')
+    with pytest.raises(Exception):
+        io.scan_issues(spark, str(tmp_path), repo_pattern=io.REPO_FROM_FILE, json_array=True).collect()
 
 
 def test_normalise_dump_drops_prs_and_unwanted_labels(spark):
     raw = spark.createDataFrame([
         ("r", 1, "a", "x", None, [("bug",), ("triage",)]),
         ("r", 2, "b", "y", ("u",), [("bug",)]),          # pull request
-        ("s", 3, "c", "z", None, [("misc",)]),           # repo without a label filter
+        ("s", 3, "c", "z", None, [("misc",), ("x",)]),   # repo without a label filter: once
+        ("s", 4, "d", "z", None, []),                    # also without labels
+        ("r", 5, "e", "z", None, []),
     ], "repo STRING, id BIGINT, title STRING, body STRING, pull_request STRUCT<url: STRING>, "
        "labels ARRAY<STRUCT<name: STRING>>")
     specs = spark.createDataFrame([("r", "bug"), ("s", None)], "repo STRING, desired_label STRING")
     got = sorted((r["id"], r["labels"]) for r in io.normalise_dump(raw, specs).collect())
-    assert got == [(1, "bug"), (3, "misc")]
+    assert got == [(1, "bug"), (3, None), (4, None)]
 
 
 def test_label_sink_is_idempotent(spark):
     path = scratch_path(spark, "sink-test")
-    rows = spark.createDataFrame([(1, "bug"), (2, None), (3, "feature"), (3, "feature"), (4, "doc"), (4, "bug")],
-                                 "issue_num BIGINT, label STRING")
+    rows = spark.createDataFrame([("a", 1, "bug"), ("a", 2, None), ("a", 3, "feature"), ("a", 3, "feature"), ("a", 4, "doc"),
+                                  ("a", 4, "bug"), ("b", 1, "doc")], "repo STRING, issue_num BIGINT, label STRING")
     io.append_labels(rows, path)
     io.append_labels(rows, path)
-    got = sorted((r["issue_num"], r["label"]) for r in io.read_sink(spark, path).collect())
-    assert got == [(1, "bug"), (3, "feature"), (4, "bug")]
+    got = sorted((r["repo"], r["issue_num"], r["label"]) for r in io.read_sink(spark, path).collect())
+    assert got == [("a", 1, "bug"), ("a", 3, "feature"), ("a", 4, "bug"), ("b", 1, "doc")]
+
+
+def test_only_a_missing_sink_reads_as_none(spark, tmp_path):
+    assert io.read_sink(spark, str(tmp_path / "nothing")) is None
+    (tmp_path / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        io.read_sink(spark, str(tmp_path)).collect()
+
+
+def test_stream_takes_latest_state_and_keeps_repos_apart(spark):
+    body = "panic error on build"
+    snaps = spark.createDataFrame([
+        ("a", 1, "x", body, "https://x/issues/12", 100, None, []),
+        ("a", 1, "x", body, "https://x/issues/12", 110, None, ["done"]),   # labelled meanwhile
+        ("a", 2, "x", body, "https://x/issues/13", 100, None, []),
+        ("b", 3, "x", body, "https://x/issues/13", 100, None, []),         # same number, other repo
+    ], R.SNAPSHOT_SCHEMA)
+    source, sink, ckpt = (scratch_path(spark, n) for n in ("src-test", "sink-test", "ckpt-test"))
+    snaps.write.parquet(source)
+    clock = iter([100.0] * 9)
+    R.run_incremental(spark, source, sink, ckpt, as_of=lambda: next(clock), delta_seconds=50)
+    got = sorted((r["repo"], r["issue_num"]) for r in io.read_sink(spark, sink).collect())
+    assert got == [("a", 13), ("b", 13)]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    from issuelens.session import shared_dir
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
 
 
 def test_incremental_stream_labels_nothing_twice(spark):
@@ -68,9 +120,9 @@ def test_incremental_stream_labels_nothing_twice(spark):
     source, sink, ckpt = (scratch_path(spark, n) for n in ("src-test", "sink-test", "ckpt-test"))
     snaps.write.mode("append").parquet(source)
     R.run_incremental(spark, source, sink, ckpt, as_of=100, delta_seconds=50)
-    first = sorted(tuple(r) for r in io.read_sink(spark, sink).collect())
-    assert first == [(1, "bug")]
+    first = sorted(tuple(r) for r in io.read_sink(spark, sink).drop("bucket").collect())
+    assert first == [("r", 1, "bug")]
     # A later edit of issue 1 and a replay of everything: nothing new is labelled.
     snaps.withColumn("updated_s", F.col("updated_s") + 1).write.mode("append").parquet(source)
     R.run_incremental(spark, source, sink, ckpt, as_of=100, delta_seconds=50)
-    assert sorted(tuple(r) for r in io.read_sink(spark, sink).collect()) == first
+    assert sorted(tuple(r) for r in io.read_sink(spark, sink).drop("bucket").collect()) == first

@@ -1,11 +1,14 @@
-"""Physical-plan properties: bounded broadcasts and column pruning."""
+"""Physical-plan properties: no hidden reshuffles, no text in exchanges, column pruning."""
 
 from __future__ import annotations
 
 import contextlib
 import io
 
-from issuelens.operators.joins import bounded_broadcast, rows_within, vector_rows
+from pyspark.sql import functions as F
+
+from issuelens.operators import vectors
+from issuelens.sources import tables
 
 
 def _plan(df) -> str:
@@ -15,23 +18,58 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_bounded_broadcast_respects_bound(spark):
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_scans_are_not_reshuffled_unless_asked(spark, sf_small):
+    asked = spark.conf.get(tables.SPREAD_SETTING)
+    spark.conf.unset(tables.SPREAD_SETTING)
     try:
-        big = spark.range(10_000).withColumnRenamed("id", "k")
-        small = spark.range(100).withColumnRenamed("id", "k")
-        assert "BroadcastHashJoin" in _plan(big.join(bounded_broadcast(small, 1000), "k"))
-        assert "SortMergeJoin" in _plan(big.join(bounded_broadcast(small, 10), "k"))
+        assert "RoundRobin" not in _plan(tables.read_table(spark, sf_small, "documents"))
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set(tables.SPREAD_SETTING, asked)
+    assert "RoundRobin" in _plan(tables.read_table(spark, sf_small, "documents"))
+
+
+def test_vector_plans_shuffle_no_text(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").withColumnRenamed("doc_id", "id")
+    emb = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    shape = vectors.table_shape(emb)
+    for f in (vectors.normalised_vector_mean, vectors.sentence_vector_mean, vectors.text_mean_vector):
+        outputs = _exchange_outputs(f(docs, F.col("text"), emb, *shape))
+        assert outputs and not any({"text", "_s", "_tok"} & o for o in outputs)
+
+
+def _exchange_outputs(df) -> list[set]:
+    found, todo = [], [df._jdf.queryExecution().sparkPlan(), df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Exchange":
+            out = node.output()
+            found.append({out.apply(i).name() for i in range(out.size())})
+    return found
+
+
+def test_every_vector_can_be_hit(spark):
+    words = spark.range(20_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+    hit = words.select(vectors.word_vector_id(F.col("w"), 2 * 1500).alias("v")).filter("v < 1500")
+    assert hit.distinct().count() == 1500
 
 
-def test_vector_bound_is_by_bytes():
-    assert vector_rows(300) < vector_rows(64) < rows_within(64)
-    assert vector_rows(300) * 300 * 8 <= 256 << 20
+def test_repeated_runs_are_scored_once(spark, sf_small):
+    import importlib
+    q = importlib.import_module("__spark_entry__").queries()
+    assert _plan(q["repeat_average"](spark, sf_small)).count("ReadSchema") == 1
+
+
+def test_queries_leave_nothing_cached(spark, sf_small):
+    import importlib
+    q = importlib.import_module("__spark_entry__").queries()
+    spark.catalog.clearCache()
+    for key in ("bad_ids", "remove_duplicates", "duplicate_groups"):
+        q[key](spark, sf_small).collect()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
 def test_flagship_scan_prunes_columns(spark, sf_small):

@@ -92,3 +92,27 @@ def test_external_encoder_nan_mean(spark):
     # sentences of 1: "aaaa bb" (7, 4), "cc" (nan), "dddd aa" (7, 2) -> mean (7, 3)
     assert got[1] == pytest.approx([7.0, 3.0])
     assert got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("pattern,text,expected", [
+    # Values of the reference's patterns, whose blanks and digits are Unicode.
+    (P.ISSUE_REFERENCE, "\u00a0#12\u00a0", 1),
+    (P.ISSUE_REFERENCE, " #\u0663 ", 1),
+    (P.USERNAME, "\u2003@a b", 1),
+    (P.USERNAME, "\x0b@a\x0b", 1),
+    (P.LINK, "\x85[a](b)\u3000", 1),
+])
+def test_counters_take_unicode_blanks_and_digits(spark, pattern, text, expected):
+    assert _eval(spark, lambda c: T.regex_count(c, pattern), [text]) == [expected]
+
+
+def test_upper_case_numerals_count(spark):
+    import re
+    words = ["\u2167", "\u2177", "\u00c9t\u00e9", "\u01c5x", "abc", "X9"]
+    assert _eval(spark, lambda c: c.rlike(P.UPPER_INITIAL), words) == [w[0].isupper() for w in words]
+    assert re.match(r"\w", "\u2167")
+
+
+def test_markdown_links_of_issue_text(spark):
+    text = "see [a](http://x/1)[b](</y z>) ![i](img.png) `[c](d)` <https://z.org/q> [e](f \"t\")\n```\n[g](h)\n```\n"
+    assert _eval(spark, T.extract_markdown_links, [text]) == [["http://x/1", "https://z.org/q", "f"]]
