@@ -93,7 +93,8 @@ IMAGE_TOKEN = " IMAGE_TOKEN "
 # Links of issue text before rendering: fences and code spans are not rendered;
 # an inline link or image, its target, and an autolink.
 CODE_SPAN = r"`[^`\n]*`"
-MARKDOWN_LINK = r"!?\[[^\[\]]*\]\([ \t\n]*<?([^ \t\n()<>]+)>?(?:[ \t\n]+[^()]*)?\)|<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^ \t\n<>]*)>"
+MARKDOWN_LINK = (r"!?\[[^\[\]]*\]\([ \t\n]*(?:<([^<>\n]*)>|([^ \t\n()<>]+))(?:[ \t\n]+[^()]*)?\)"
+                 r"|<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^ \t\n<>]*)>")
 
 # Sentence boundary rule (stands in for a trained sentence splitter).
 SENTENCE_END = r"[.!?]+[ \t\n\r\f]+"

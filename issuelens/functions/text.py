@@ -142,7 +142,7 @@ def extract_markdown_links(text) -> Column:
     images, and links inside fences or code spans, are none."""
     rendered = F.regexp_replace(F.regexp_replace(_col(text), P.FENCE, ""), P.CODE_SPAN, "")
     found = F.filter(regex_all(rendered, P.MARKDOWN_LINK), lambda m: ~m.startswith("!"))
-    return F.transform(found, lambda m: F.concat(F.regexp_extract(m, P.MARKDOWN_LINK, 1), F.regexp_extract(m, P.MARKDOWN_LINK, 2)))
+    return F.transform(found, lambda m: F.concat(*[F.regexp_extract(m, P.MARKDOWN_LINK, i) for i in (1, 2, 3)]))
 
 
 def html_to_text(html) -> Column:

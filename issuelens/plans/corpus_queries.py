@@ -215,7 +215,7 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
 
 _RENDERED = f"regexp_replace({O.replace_all('body', P.FENCE, '')}, {O.rx(P.CODE_SPAN)}, '', 'g')"
 _ISSUE_LINKS = (f"list_transform(list_filter(regexp_extract_all({_RENDERED}, {O.rx(P.MARKDOWN_LINK)}), lambda m: not starts_with(m, '!')), "
-                f"lambda m: regexp_extract(m, {O.rx(P.MARKDOWN_LINK)}, 1) || regexp_extract(m, {O.rx(P.MARKDOWN_LINK)}, 2))")
+                "lambda m: " + " || ".join(f"regexp_extract(m, {O.rx(P.MARKDOWN_LINK)}, {i})" for i in (1, 2, 3)) + ")")
 
 
 @register("extract_issue_links", "F8", W(O.base_ctes(), f"""

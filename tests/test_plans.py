@@ -52,7 +52,7 @@ def _exchange_outputs(df) -> list[set]:
 
 
 def test_every_vector_can_be_hit(spark):
-    words = spark.range(20_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+    words = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
     hit = words.select(vectors.word_vector_id(F.col("w"), 2 * 1500).alias("v")).filter("v < 1500")
     assert hit.distinct().count() == 1500
 

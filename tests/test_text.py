@@ -115,4 +115,4 @@ def test_upper_case_numerals_count(spark):
 
 def test_markdown_links_of_issue_text(spark):
     text = "see [a](http://x/1)[b](</y z>) ![i](img.png) `[c](d)` <https://z.org/q> [e](f \"t\")\n```\n[g](h)\n```\n"
-    assert _eval(spark, T.extract_markdown_links, [text]) == [["http://x/1", "https://z.org/q", "f"]]
+    assert _eval(spark, T.extract_markdown_links, [text]) == [["http://x/1", "/y z", "https://z.org/q", "f"]]
