@@ -325,7 +325,8 @@ def test_every_operator_has_a_query():
 def test_queries_equal_their_sql(spark, sf_small, name):
     import duckdb
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf_small}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_small}/{t}.parquet')")
     norm = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
     df = queries.QUERIES[name](spark, sf_small)
     cols = sorted(df.columns)
