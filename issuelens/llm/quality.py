@@ -169,7 +169,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 def _judged(packed: DataFrame) -> DataFrame:
     """(_row, counts, base_failed, ratios, kept) for (_row, lang, source, text)."""
     rows = stored(counted(packed, ["_row", "lang", "source"]), "quality")
-    limit = fences(sketches(rows))
+    limit = stored(fences(sketches(rows)), "fences")  # small: its size is known when the join is planned
     out = rows.join(limit, rows["lang"].eqNullSafe(F.col("_l")) & rows["source"].eqNullSafe(F.col("_s")), "left")
     bad = F.lit(False)
     for k, (_, above, below) in RATIOS.items():
