@@ -27,6 +27,13 @@ def test_components(spark, edges):
     assert got == {x: u.find(x) for x in u.up}
 
 
+def test_component_state_of_many_edges(spark):
+    edges = spark.range(3 << 23, numPartitions=8).select(F.col("id").alias("b"), (F.col("id") + 1).alias("a"))
+    n, *marks = components._state(edges)
+    assert n == 3 << 23
+    assert marks != list(components._state(edges.withColumn("b", F.when(F.col("b") == 7, 6).otherwise(F.col("b"))))[1:])
+
+
 # --- mixing -----------------------------------------------------------------------------------
 
 def plain_targets(sizes, share=1.5, cap=2.0):
