@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -260,6 +261,35 @@ def test_deduplicated_texts(spark, clashing, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def edited_pairs(kind, n=300):
+    """``n`` pairs of lines of one kind at similarity 0.8 or more, an edit or two apart."""
+    rng = random.Random(zlib.crc32(kind.encode()))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    while len(pairs) < n:
+        if kind == "unbroken":
+            a = "".join(rng.choice(letters) for _ in range(rng.choice((100, 200, 400))))
+            at = rng.choice((0, rng.randrange(len(a))))
+        else:
+            a = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(2, 8)))
+            at = rng.choice((0, len(a), rng.randrange(len(a))))
+        b = a[:at] + rng.choice("0123456789") + a[at + (at < len(a) and rng.random() < 0.5):]
+        x, y = brute.line_shingles(a), brute.line_shingles(b)
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs.append((a, b))
+    return pairs
+
+
+@pytest.mark.parametrize("kind", ["unbroken", "short"])
+def test_similar_lines_share_a_band(spark, kind):
+    pairs = edited_pairs(kind)
+    lines = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], "pair LONG, line STRING")
+    by = defaultdict(list)
+    for r in line_dedup.with_bands(lines).select("pair", "bands").collect():
+        by[r["pair"]].append(set(r["bands"]))
+    assert sum(bool(a & b) for a, b in by.values()) >= 0.99 * len(pairs)
+
+
 def test_line_operator_runs_no_python(docs):
     plan = line_dedup.dropped_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
