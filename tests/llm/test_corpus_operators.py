@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from issuelens.llm import components, line_dedup, minhash, mixing, packing, queries, tokens, vector_links
+from issuelens.llm import buckets, components, line_dedup, minhash, mixing, packing, queries, tokens, vector_links
 
 
 # --- components -------------------------------------------------------------------------------
@@ -290,6 +290,37 @@ def test_similar_lines_share_a_band(spark, kind):
     assert sum(bool(a & b) for a, b in by.values()) >= 0.99 * len(pairs)
 
 
+def test_large_buckets_of_unlike_lines(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["https://www.example.com/" + "common/path/of/the/site/" + "".join(rng.choice(letters) for _ in range(30)) for _ in range(1500)]
+    near = {1500 + i: 15 * i for i in range(100)}
+    lines += [lines[i] + "1" for i in near.values()]
+    rows = spark.createDataFrame(list(enumerate(lines)), "key LONG, line STRING")
+    monkeypatch.setattr(buckets, "LARGE", 100)
+    tagged = line_dedup.with_bands(rows).select("key", F.explode("bands").alias("band"), F.col("key").alias("part"))
+    assert tagged.groupBy("band").count().agg(F.max("count")).first()[0] > 400
+
+    def pairs(t):
+        return t.groupBy("band").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+
+    split = buckets.split_buckets(tagged, lambda keys: line_dedup.finer_bands(rows.join(keys, "key", "left_semi")))
+    assert pairs(split) < 0.25 * pairs(tagged)
+    left, right = buckets.in_blocks(split)
+    assert left.groupBy("band", "low", "high").count().agg(F.max("count")).first()[0] < 2 * buckets.LARGE
+    met = left.withColumnRenamed("key", "a").drop("part").join(right.withColumnRenamed("key", "b").drop("part"), ["band", "low", "high"])
+    met = {(r["a"], r["b"]) for r in met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct().collect()}
+    by = defaultdict(list)
+    for r in split.select("band", "key").collect():
+        by[r["band"]].append(r["key"])
+    assert met == {(a, b) for x in by.values() for a in x for b in x if a < b}
+    assert sum((a, b) in met for b, a in near.items()) >= 0.99 * len(near)
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(lines)], brute.SCHEMA)
+    got = {r["doc_id"] for r in line_dedup.dropped_lines(docs).filter("n_dropped = 1").collect()}
+    want = brute.kept_lines([(i, x) for i, x in enumerate(lines)])
+    assert len(got ^ {i for i, x in enumerate(lines) if (i, x) not in want}) <= 1
+
+
 def test_line_operator_runs_no_python(docs):
     plan = line_dedup.dropped_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
