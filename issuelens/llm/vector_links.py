@@ -4,7 +4,7 @@ Every tree splits the vectors recursively: a node projects them on a random dire
 cuts near the median; vectors close to the cut go to both sides (spill overlap).  All
 pairs inside a leaf are compared exactly (cosine in double precision), and links join
 components by union.  Trees are as many as make a pair at the threshold share a leaf
-somewhere with probability 0.999.
+somewhere with probability 0.999; how often it does in one tree is measured on the sample.
 
 The top of the forest is fitted on at most about ``SAMPLE`` vectors on the driver (a documented
 bound) and applied to every vector; a leaf that is still too large is split again by
@@ -24,7 +24,7 @@ empty table gives an empty result; extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ SAMPLE = 20_000
 SPILL = 0.05           # share of a node's vectors on either side of the cut that go to both,
 WIDTH = 0.126          # and all this near to the cut (a random projection of unit vectors spreads by 1)
 SHRINK = 0.7           # a split is made only if no side keeps more than this share
-KEEP = 0.91            # chance per split that a pair at cosine 0.9 stays together (measured in the tests)
+KEEP = 0.91            # chance per split that a pair at cosine 0.9 stays together for vectors spread evenly round the origin; no more is assumed of others
 
 
 def usable(embedding: Column) -> Column:
@@ -99,6 +99,60 @@ class Forest:
         return np.concatenate(row), np.concatenate(key)
 
 
+def tree_chance(sample: np.ndarray, n: int, threshold: float, depth: int, most: int, seed: int, trials: int = 24) -> float:
+    """Chance that one tree over ``n`` vectors keeps a pair at the threshold together.
+
+    Pairs differ in it, so it is taken from the share of pairs that half of the trials all miss,
+    and three standard errors.
+
+    Trial trees split the sample as the forest and ``_refine`` split all vectors, down to leaves
+    that stand for ``most`` vectors; a made partner at the threshold goes along with each
+    vector.  Where too little of the sample is left, further splits count as the ones before.
+    """
+    rng = np.random.default_rng(seed)
+    dim, scale = sample.shape[1], n / len(sample)
+    x = sample[rng.permutation(len(sample))[:2000]]
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.maximum(np.sqrt((off * off).sum(axis=1, keepdims=True)), 1e-12)
+    y = threshold * x + max(0.0, 1 - threshold * threshold) ** 0.5 * off
+    hits = np.zeros(len(x), np.int64)
+    for _ in range(trials):
+        chance = np.zeros(len(x))
+        met = kept = 0
+        shares, early = [], []
+        held = [(np.arange(len(sample)), np.arange(len(x)), 0)]
+        while held:
+            rows, pairs, level = held.pop()
+            if level >= depth and len(rows) * scale <= most or not len(pairs):
+                chance[pairs] = 1
+                continue
+            if len(rows) < 32:
+                early.append((pairs, len(rows) * scale / most))
+                continue
+            way = rng.standard_normal(dim)
+            p = sample[rows] @ way
+            low, mid, high = np.quantile(p, [0.5 - SPILL, 0.5, 0.5 + SPILL])
+            low, high = min(low, mid - WIDTH), max(high, mid + WIDTH)
+            left, right = rows[p <= high], rows[p >= low]
+            if max(len(left), len(right)) > SHRINK * len(rows):
+                chance[pairs] = 1
+                continue
+            a, b = x[pairs] @ way, y[pairs] @ way
+            on_left, on_right = np.maximum(a, b) <= high, np.minimum(a, b) >= low
+            met, kept = met + len(pairs), kept + int((on_left | on_right).sum())
+            shares.append(max(len(left), len(right)) / len(rows))
+            held += [(left, pairs[on_left], level + 1), (right, pairs[on_right], level + 1)]
+        for pairs, over in early:
+            levels = ceil(log(max(over, 1.0)) / -log(np.mean(shares))) if shares else 0
+            chance[pairs] = np.maximum(chance[pairs], (kept / max(met, 1)) ** levels)
+        hits += rng.random(len(x)) < chance
+    half = trials // 2
+    missed = np.array([comb(trials - k, half) / comb(trials, half) for k in hits.tolist()])
+    share = missed.mean() + 3 * missed.std() / len(x) ** 0.5
+    return max(0.01, 1 - float(share) ** (1 / half) if share else 1.0)
+
+
 def _assign(vectors: DataFrame, dim: int, forest: Forest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,12 +240,16 @@ def linked_classes(vectors: DataFrame, dim: int, n: int, threshold: float = THRE
                    leaf_rows: int = LEAF, block_rows: int = BLOCK, sample_rows: int = SAMPLE) -> DataFrame:
     """(cid, links, other) summed over leaves later; ``vectors`` is stored (cid, embedding, n)."""
     want = max(0, ceil(log(max(n, 1) / leaf_rows, 2)))
-    share = 0.999
-    trees = 1 if want == 0 else ceil(log(1 - share) / log(1 - KEEP ** want))
     depth = min(want, max(0, int(log(max(min(n, sample_rows), 1) / 32, 2))))
     part = vectors.filter(F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(n, 1))))
     sample = part.select("embedding").toArrow()["embedding"].combine_chunks() if depth else pa.array([], pa.list_(pa.float32()))
-    forest = Forest(matrix(sample, dim) if len(sample) else np.zeros((0, dim)), trees, depth, seed)
+    sample = matrix(sample, dim) if len(sample) else np.zeros((0, dim))
+    share = 0.999
+    chance = KEEP ** want
+    if depth and len(sample):
+        chance = min(chance, tree_chance(sample, n, threshold, depth, block_rows, seed))
+    trees = 1 if want == 0 else ceil(log(1 - share) / log(1 - chance))
+    forest = Forest(sample, trees, depth, seed)
     leaves = stored(_assign(vectors, dim, forest), "leaves")
     leaves = _refine(leaves, vectors, dim, block_rows, seed)
     sizes = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))

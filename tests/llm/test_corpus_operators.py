@@ -430,3 +430,18 @@ def test_pipeline_follows_its_stages(spark, docs, tmp_path):
     check_packing([(d, t) for d, t, _ in seen[4][0]], seen[4][1].collect(), packing.SEQUENCE)
     assert Counter(r["ids_crc32"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(
         r["ids_crc32"] for r in seen[4][1].collect())
+
+
+def test_links_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    mean = unit(rng.standard_normal(64))
+    x = unit(0.8 ** 0.5 * mean + 0.2 ** 0.5 * unit(rng.standard_normal((3000, 64))))
+    off = rng.standard_normal((400, 64))
+    off = unit(off - (off * x[:400]).sum(axis=1, keepdims=True) * x[:400])
+    x = np.concatenate([x, 0.902 * x[:400] + (1 - 0.902 ** 2) ** 0.5 * off])
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = vector_links.link_vectors(df, leaf_rows=64, block_rows=64).agg(F.sum("n_links")).first()[0]
+    assert 0.995 * hit.sum() <= got <= hit.sum()
