@@ -321,6 +321,10 @@ def test_large_buckets_of_unlike_lines(spark, monkeypatch):
     assert len(got ^ {i for i, x in enumerate(lines) if (i, x) not in want}) <= 1
 
 
+def test_sketches_lose_hardly_a_pair():
+    assert 0.5 * math.erfc(line_dedup.DEVIATIONS / math.sqrt(2)) < 1e-5
+
+
 def test_line_operator_runs_no_python(docs):
     plan = line_dedup.dropped_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
