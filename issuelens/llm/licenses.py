@@ -61,7 +61,8 @@ LICENSES = (
     ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)"),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("0bsd", "zero", r"zero clause bsd"),
     ("mit-0", "0", r"mit 0"),
     ("mit", "mit", r"mit(?: x11)?"),
     ("x11", "x11", r"x11"),
@@ -80,7 +81,8 @@ LICENSES = (
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("artistic-2", "artistic", r"artistic(?: license)? 2(?: 0)?"),
     ("artistic-1", "artistic", r"artistic"),
-    ("boost-1", "boost", r"(?:boost software|bsl 1 0)"),
+    ("boost-1", "boost", r"boost software"),
+    ("boost-1", "bsl", r"bsl 1 0"),
     ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: 1 1)?"),
     ("ofl-1.1", "font", r"(?:sil )?open font"),
     ("eupl", "eupl", r"eupl(?: 1 [0-2])?"),
@@ -192,7 +194,7 @@ def keyword_forms(keyword: bytes) -> tuple[bytes, ...]:
     """Words that show a keyword in a text: spelled out or joined to a version number."""
     spelled = {b"cc": (b"creative",), b"nc": (b"noncommercial", b"commercial"), b"sa": (b"sharealike", b"alike", b"share"),
                b"nd": (b"noderivatives", b"derivatives", b"noderivs")}
-    versions = tuple(keyword + v for v in (b"1", b"2", b"3", b"v1", b"v2", b"v3"))
+    versions = tuple(keyword + v for v in (b"1", b"2", b"3", b"v", b"v1", b"v2", b"v3"))
     return (keyword, *spelled.get(keyword, ()), *versions)
 
 

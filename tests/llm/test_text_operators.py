@@ -230,3 +230,32 @@ def test_url_model_on_held_out_labels(spark):
     got = url_filter.judge_urls(test, model, rules=()).join(test, "page_id")
     right = got.filter((F.col("verdict") == "block") == (F.col("block") == 1)).count()
     assert right >= 0.9 * got.count() and got.count() > 40
+
+
+def forms_of(tree):
+    """Every text that a parsed pattern of literals, sets, branches and optional parts matches."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(c) for kind, v in arg for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])]
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in forms_of(branch)]
+        elif op == "SUBPATTERN":
+            more = forms_of(arg[3])
+        else:
+            assert op == "MAX_REPEAT" and tuple(arg[:2]) == (0, 1)
+            more = ["", *forms_of(arg[2])]
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_every_license_form_passes_the_gate():
+    scan = licenses.Scanner()
+    for label, _, name in licenses.LICENSES:
+        for form in forms_of(re._parser.parse(name)):
+            text = f"licensed under the {form}".encode()
+            found = scan.detections(text, frozenset(text.split(b" ")))
+            assert found, (label, form)
