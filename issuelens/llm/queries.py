@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, minhash, mixing, packing, pii, quality, tokens, url_filter, vector_links
+from . import conversation_repair, licenses, line_dedup, minhash, mixing, packing, pii, quality, tokens, url_filter, vector_links
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,3 +272,8 @@ from d left join (select doc_id, t, list(distinct pos order by pos) as dropped f
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
     return gone.withColumn("dropped", F.array_join(F.array_sort("dropped"), ","))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
