@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, licenses, line_dedup, minhash, mixing, packing, pii, quality, tokens, url_filter, vector_links
+from . import conversation_repair, licenses, line_dedup, minhash, mixing, packing, pii, quality, spelling, tokens, url_filter, vector_links
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,3 +277,46 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+# The crc is taken byte by byte through a table that the first expression derives from the polynomial.
+VARIANTS_SQL = r"""
+with recursive tab as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from range(256) g(i))),
+run as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run
+    from documents) where length(run) >= 5 group by all),
+byte as (
+  select doc_id, run, n, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), 'null') || ':' || run, ''),
+    lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [(192 | (unicode(x) >> 6))::bigint, (128 | (unicode(x) & 63))::bigint] end)) as b
+  from run),
+hash as (
+  select run, n, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295::bigint) as h
+  from byte, tab),
+w as (
+  select word, cast(sum(n) as bigint) as n from (
+    select n, case when h % 97 <> 0 then run else substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) end as word from hash)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from w, lateral (select unnest(range(1, length(word) + 1)) as i)),
+p as (
+  select distinct cut.word as a, w.word as b from cut join w on cut.rest = w.word
+  union select distinct x.word, y.word from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word),
+near as (select a, b from p union select b, a from p),
+best as (
+  select near.a as word, count(*) as n_near, max(w.n) as form_n,
+    arg_min(near.b, struct_pack(m := -w.n, b := near.b)) as form from near join w on near.b = w.word group by near.a),
+f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * w.n then form end as form, case when form_n >= 2 * w.n then form_n end as form_n
+  from w left join best on w.word = best.word),
+walk as (select word, word as here, 0 as k from f union all select walk.word, f.form, k + 1 from walk join f on walk.here = f.word where f.form is not null)
+select f.word, form, root, n, cast(n_near as bigint) as n_near, cast(form_n as bigint) as form_n
+from f join (select word, arg_max(here, k) as root from walk group by word) r on f.word = r.word
+"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
