@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, licenses, line_dedup, minhash, mixing, packing, pii, quality, spelling, tokens, url_filter, vector_links
+from . import conversation_repair, licenses, line_dedup, minhash, mixing, packing, pii, quality, quality_model, spelling, tokens, url_filter, vector_links
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,3 +320,8 @@ from f join (select word, arg_max(here, k) as root from walk group by word) r on
 @query("op12_spelling_variants", VARIANTS_SQL)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_model")
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
