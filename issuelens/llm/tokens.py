@@ -29,7 +29,8 @@ VOCABULARY = "word_bpe_49k.json"
 TABLE_ENTRIES = 1_300_000
 # White space of the splitting rule; Python's own also has \x1c-\x1f.
 BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
-NOT_PLAIN = re.compile(r"[^\w\s]{2}|[_'<\u0250-\U0010ffff]")
+# Lower-casing U+0130 leaves a mark, which joins the sign behind it in one piece.
+NOT_PLAIN = re.compile(r"[^\w\s]{2}|[_'<\u0130\u0250-\U0010ffff]")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

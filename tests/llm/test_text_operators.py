@@ -127,9 +127,11 @@ def test_boosting_learns_and_calibrates():
 @pytest.fixture(scope="module")
 def texts(rows):
     rng = random.Random(5)
-    alphabet = "aAbBzéÉÜßñ  \t\n'sdmlltrevex.,!?<|>endoftext0123456789٣½\x1c\x1f\x85\xa0 中文ΣσςİıéﬁⅧ‍😀_-#@$|́"
+    alphabet = "aAbBzéÉÜßñ  \t\n'sdmlltrevex.,!?<|>endoftext0123456789٣½\x1c\x1f\x85\xa0 中文ΣσςİİİıéﬁⅧ‍😀_-#@$|́"
     fuzz = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    return [r[1] or "" for r in rows] + fuzz + ["a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "a" * 3000, "Σ ΑΣ ΑΣΑ"]
+    signs = [".", ",", " ", "-", "a", "İ"]
+    beside = [t for i in range(1, 0x250) for x in signs for t in (chr(i) + x, x + chr(i), f"ab{chr(i)}{x}cd", chr(i) + x + chr(i))]
+    return [r[1] or "" for r in rows] + fuzz + beside + ["İ.Ö. 300", "Bitlis İ. Kaya", "İ,İ.i̇."] + ["a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "a" * 3000, "Σ ΑΣ ΑΣΑ"]
 
 
 def test_counts_and_ids_equal_the_library(texts):
