@@ -193,27 +193,36 @@ def handcrafted_features(title, text, codeblocks, lower: bool = False) -> Column
 
 # --- scores and decoding (T7, F13-F17) ------------------------------------------
 
+def bound(value: Column, expression: Callable[[Column], Column]) -> Column:
+    """``expression`` over ``value``, which is evaluated once however often the expression
+    reads it: it is bound to a lambda's variable."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
 def argmax(scores) -> Column:
     """Index of the largest score, first one on ties."""
-    s = _col(scores)
-    return (F.array_position(s, F.array_max(s)) - 1).cast("int")
+    return bound(_col(scores), lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def decode(scores, threshold: float, strict: bool) -> Column:
     """F15 (``strict``: max > c, logits) / F16 (max >= t, probabilities);
     otherwise -1 = abstain (Q11)."""
-    s = _col(scores)
-    passed = F.array_max(s) > F.lit(threshold) if strict else F.array_max(s) >= F.lit(threshold)
-    return F.when(passed, argmax(s)).otherwise(F.lit(-1))
+    def decide(s: Column) -> Column:
+        passed = F.array_max(s) > F.lit(threshold) if strict else F.array_max(s) >= F.lit(threshold)
+        return F.when(passed, (F.array_position(s, F.array_max(s)) - 1).cast("int")).otherwise(F.lit(-1))
+
+    return bound(_col(scores), decide)
 
 
 def softmax(scores) -> Column:
     """numerically stable softmax of an array of scores."""
-    s = _col(scores).cast("array<double>")
-    m = F.array_max(s)
-    e = F.transform(s, lambda x: F.exp(x - m))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    def shares(e: Column) -> Column:
+        return bound(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+
+    def powers(s: Column) -> Column:
+        return bound(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m)))
+
+    return bound(_col(scores).cast("array<double>"), lambda s: bound(powers(s), shares))
 
 
 def double_softmax(scores) -> Column:
@@ -223,9 +232,11 @@ def double_softmax(scores) -> Column:
 
 def l2_normalise(v) -> Column:
     """v / ||v||, unchanged when the norm is 0."""
-    arr = _col(v).cast("array<double>")
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(arr, lambda x: x / norm)).otherwise(arr)
+    def divided(arr: Column) -> Column:
+        length = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x))
+        return bound(length, lambda norm: F.when(norm > 0, F.transform(arr, lambda x: x / norm)).otherwise(arr))
+
+    return bound(_col(v).cast("array<double>"), divided)
 
 
 def label_name(pred, names: Sequence[str | None]) -> Column:

@@ -64,8 +64,9 @@ def bad_ids(issues: DataFrame, whitelist: Iterable[str], keep_one: bool = False)
 
 
 def remove_duplicates(issues: DataFrame, bad: DataFrame) -> DataFrame:
-    """Drop every post (whitelisted or not) whose id is bad (anti join)."""
-    return issues.join(bad.select("id"), "id", "left_anti")
+    """Drop every post (whitelisted or not) whose id is bad in its own repo
+    (anti join on both: each repo has its own list, and ids may repeat across repos)."""
+    return issues.join(bad.select("repo", "id"), ["repo", "id"], "left_anti")
 
 
 def write_bad_ids(bad: DataFrame, path: str) -> None:

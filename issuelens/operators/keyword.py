@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import concat_features, regex_count
+from ..functions.text import bound, concat_features, regex_count
 from . import evaluate, labels, split
 
 KEYWORD_CLASSES = ("bug", "doc", "feature")
@@ -39,13 +39,17 @@ def keyword_classify(x, as_written: bool = False) -> Column:
 def class_of_scores(scores: Column, as_written: bool = False) -> Column:
     """The class with the most hits, the first on ties, -1 without a hit.
 
-    The scores stand in one array that every branch reads, so each pattern is
-    counted once per text (a common subexpression of the projection).
+    The decision is an expression over a lambda's variable, which is bound to the
+    scores once per text, so each pattern is counted once however often the decision reads them.
     """
     codes = (0, 1, 2) if as_written else tuple(labels.CLASSES[c] for c in KEYWORD_CLASSES)
-    top = F.array_max(scores)
-    first = F.array_position(scores, top).cast("int")
-    return F.when(top == 0, F.lit(-1)).otherwise(F.get(F.array(*map(F.lit, codes)), first - 1)).cast("int")
+
+    def decide(s: Column) -> Column:
+        top = F.array_max(s)
+        first = F.array_position(s, top).cast("int")
+        return F.when(top == 0, F.lit(-1)).otherwise(F.get(F.array(*map(F.lit, codes)), first - 1)).cast("int")
+
+    return bound(scores, decide)
 
 
 def keyword_evaluation(dataset: DataFrame, share: float = 0.8, seed: int = 1,

@@ -44,10 +44,20 @@ def bad_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _bad(spark, sf)
 
 
-@register("remove_duplicates", "J1", W(_DEDUPE_CTES, "select id, repo from issues where id not in (select id from bad)"))
+# The same duplicates over ids that are counted per repo, so they repeat across repos.
+LOCAL_DEDUPE_CTES = ([("issues", f"select * replace (id + 7 * cast(substr(repo, 5) as bigint) as id) from ({tables.issues_sql()})")]
+                     + _DEDUPE_CTES[1:])
+KEPT_SQL = "from issues i where not exists (select 1 from bad b where b.repo = i.repo and b.id = i.id)"
+
+
+def local_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return C.issues(spark, sf).withColumn("id", F.col("id") + 7 * F.substring("repo", 5, 9).cast("bigint"))
+
+
+@register("remove_duplicates", "J1", W(LOCAL_DEDUPE_CTES, f"select id, repo {KEPT_SQL}"))
 def remove_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    iss = C.issues(spark, sf)
-    return dedupe.remove_duplicates(iss, _bad(spark, sf)).select("id", "repo")
+    iss = local_issues(spark, sf)
+    return dedupe.remove_duplicates(iss, dedupe.bad_ids(iss, labels.whitelist())).select("id", "repo")
 
 
 @register("bad_ids_file", "S7", W(_DEDUPE_CTES, "select repo, id from bad"))

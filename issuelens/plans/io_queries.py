@@ -18,7 +18,7 @@ from ..streaming import incremental as R
 from . import common as C
 from . import oracle as O
 from .catalog import register
-from .corpus_queries import _DEDUPE_CTES
+from .corpus_queries import KEPT_SQL, LOCAL_DEDUPE_CTES, local_issues
 from .queries import _runs_sql, slices_of, _scored_tests
 
 W = O.with_ctes
@@ -69,11 +69,10 @@ def union_repos(spark: SparkSession, sf: str) -> DataFrame:
     return io.union_repos(frames).select(*DUMP_COLS, "split")
 
 
-@register("write_issues_json", "S5", W(_DEDUPE_CTES, """
-select repo, id, title, body, labels from issues where id not in (select id from bad)"""))
+@register("write_issues_json", "S5", W(LOCAL_DEDUPE_CTES, f"select repo, id, title, body, labels {KEPT_SQL}"))
 def write_issues_json(spark: SparkSession, sf: str) -> DataFrame:
     """The ``_removed_dups`` dump: issues without bad ids, written and re-read."""
-    iss = C.issues(spark, sf)
+    iss = local_issues(spark, sf)
     kept = dedupe.remove_duplicates(iss, dedupe.bad_ids(iss, labels.whitelist()))
     path = _write_dump(spark, kept, "removed_dups")
     return io.scan_issues(spark, path).select(*DUMP_COLS)

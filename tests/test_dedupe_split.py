@@ -28,6 +28,16 @@ def test_bad_ids_as_written(spark):
     assert left == [2, 3, 6, 7, 8]
 
 
+def test_removal_stays_in_the_repo(spark):
+    """Issue 1 is a copy in repo a; issue 1 of repo b is another text and stays."""
+    rows = [("a", 1, "t", "b", "ok"), ("a", 2, "t", "b", "ok"), ("b", 1, "u", "c", "ok"), ("b", 2, "t", "b", "no")]
+    iss = _issues(spark, rows)
+    bad = dedupe.bad_ids(iss, WL)
+    assert [tuple(r) for r in bad.collect()] == [("a", 1)]
+    left = sorted((r["repo"], r["id"]) for r in dedupe.remove_duplicates(iss, bad).collect())
+    assert left == [("a", 2), ("b", 1), ("b", 2)]
+
+
 @pytest.mark.parametrize("n,k", [(10, 8), (11, 9), (15, 12), (1, 1), (0, 0)])
 def test_split_sizes(spark, n, k):
     df = spark.range(n).select(F.col("id"))

@@ -93,3 +93,16 @@ def test_results_do_not_depend_on_partitioning(spark, sf_small):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert out["1"] == out["16"]
+
+
+def test_every_keyword_pattern_is_counted_once(spark):
+    """The decision reads the scores several times; the plan holds one count of each pattern."""
+    from issuelens.functions import text as T
+    from issuelens.operators import keyword
+    texts = spark.range(5).select(F.concat(F.lit("bug "), F.col("id")).alias("X"))
+    plans = [texts.select(keyword.keyword_classify(F.col("X"))),
+             texts.select(T.softmax(keyword.keyword_scores(F.col("X")).cast("array<double>"))),
+             texts.select(T.decode(keyword.keyword_scores(F.col("X")).cast("array<double>"), 0.5, strict=False))]
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_count") == len(keyword.KEYWORD_LISTS)
