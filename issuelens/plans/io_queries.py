@@ -212,4 +212,4 @@ def incremental_labelling(spark: SparkSession, sf: str) -> DataFrame:
     later = snaps.filter(F.col("id") % 2 == 0).withColumn("updated_s", F.col("updated_s") + 1)
     snaps.filter(F.col("id") % 2 == 1).unionByName(later).write.mode("append").parquet(source)
     R.run_incremental(spark, source, sink, ckpt, as_of, RECENT_SECONDS)
-    return io.read_sink(spark, sink).drop("bucket")
+    return R.read_labels(spark, sink)

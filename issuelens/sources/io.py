@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import scratch_path
+
 
 # Issue dump records (id is present after id assignment).
 DUMP_SCHEMA = "title STRING, body STRING, labels STRING, id BIGINT"
@@ -115,7 +117,8 @@ def write_metrics_report(report: DataFrame, path: str) -> str:
 
 
 SINK_SCHEMA = "issue_num BIGINT, label STRING, repo STRING, bucket INT"
-SINK_BUCKETS = 64   # folders per repo: an issue's folder is its number modulo this
+SINK_BUCKET = 4096    # issue numbers per folder: recent issues have high numbers and share few folders
+MOST_FOLDERS = 2000   # folders a batch may name in its filter on the sink
 
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame | None:
@@ -136,18 +139,37 @@ def append_labels(labelled: DataFrame, path: str) -> None:
     issue; should two labels arrive, the smallest name is kept, so the result
     never depends on task order); issues already in the sink are skipped (anti
     join on the key), so a replayed batch appends nothing twice.  The sink is
-    partitioned by repo and number bucket, which the anti join also carries, so
-    a batch reads the folders of its own issues where Spark prunes them."""
+    partitioned by repo and range of numbers.  The batch's narrow rows are stored first,
+    and the folders they fall into become a filter on the sink, so only those are listed and
+    read; a batch that touches more than ``MOST_FOLDERS`` reads the sink by the join alone."""
+    spark = labelled.sparkSession
     rows = (labelled.filter(F.col("label").isNotNull())
             .groupBy("repo", "issue_num").agg(F.min("label").alias("label"))
-            .withColumn("bucket", F.pmod("issue_num", F.lit(SINK_BUCKETS)).cast("int")))
-    done = read_sink(labelled.sparkSession, path)
+            .withColumn("bucket", F.floor(F.col("issue_num") / SINK_BUCKET).cast("int")))
+    done = read_sink(spark, path)
     if done is not None:
+        held = scratch_path(spark, "new-labels")
+        rows.write.parquet(held)
+        rows = spark.read.schema(rows.schema).parquet(held)
         keys = ["repo", "bucket", "issue_num"]
-        rows = rows.join(done.select(*keys), keys, "left_anti")
+        rows = rows.join(in_folders_of(rows, done).select(*keys), keys, "left_anti")
     rows.write.mode("append").partitionBy("repo", "bucket").parquet(path)
 
 
+def in_folders_of(rows: DataFrame, done: DataFrame, most: int = MOST_FOLDERS) -> DataFrame:
+    """The sink's rows in the folders that ``rows`` fall into, as a filter on its partition columns."""
+    folders = rows.select("repo", "bucket").distinct().limit(most + 1).collect()
+    if len(folders) > most:
+        return done
+    by_repo: dict[str, list[int]] = {}
+    for r in folders:
+        by_repo.setdefault(r["repo"], []).append(r["bucket"])
+    wanted = F.lit(False)
+    for repo, buckets in sorted(by_repo.items(), key=str):
+        wanted = wanted | ((F.col("repo") == repo) & F.col("bucket").isin(sorted(b for b in buckets if b is not None)))
+    return done.filter(wanted)
+
+
 def unlabelled_only(issues: DataFrame, labelled: DataFrame | None = None, id_col: str = "id",
                     labels_col: str | None = None) -> DataFrame:
     """Issues without labels.  Either the issue carries its label list

@@ -1,33 +1,38 @@
 """Incremental labelling (R1): label recently updated, still unlabelled issues.
 
 A Structured Streaming job over a folder of issue snapshots (file source,
-explicit schema).  Each micro-batch runs the labeller's steps as one set of
-Column expressions — latest snapshot per issue -> recent (P8) -> unlabelled
-(P7) -> no pull requests (Q14) -> clean (F5, labeller order) -> score -> name
-(F17) -> append to the sink (S9).  Only an issue's current state counts, so the
-latest snapshot is picked before anything is filtered.  Issues are keyed by
-repo and number.  The sink append is an anti join on that key, so a replayed
-batch or a second run labels nothing twice, and the checkpoint records which
-snapshot files were consumed.  Runs once over what is there
-(``availableNow``) or, with ``interval``, on a processing-time trigger; the
-clock is read per batch.
+explicit schema).  The labeller's steps run as Column expressions in the scan task: clean (F5,
+labeller order) -> score -> name (F17), and whether the snapshot qualifies: recent (P8),
+unlabelled (P7), no pull request (Q14).  What is shuffled is a narrow row without text.  A state
+store keyed by (repo, number) then takes the issue's latest snapshot of the batch, since only the
+current state counts, and lets a label through if it qualifies and the issue was
+not labelled before.  State is kept of labelled issues only, in RocksDB with its changes in the
+checkpoint, so a batch costs what its own issues cost: the sink is never read, however large it has become.
+
+Each batch overwrites its own folder of the sink, so a replayed batch writes
+the same rows again, and a restart from the checkpoint labels nothing twice.  Runs once over what is
+there (``availableNow``) or, with ``interval``, on a processing-time trigger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import keyword
-from ..sources import io
 
 SNAPSHOT_SCHEMA = ("repo STRING, id BIGINT, title STRING, body STRING, url STRING, updated_s BIGINT, "
                    "pull_request STRING, label_names ARRAY<STRING>")
 # Label text posted per class code (feature, bug, doc).
 LABEL_NAMES = ("feature", "bug", "documentation")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SINK_FILES = 8   # files a batch writes at most
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -42,49 +47,89 @@ def labeller_text() -> Column:
     return T.clean(T.concat_features(trailing=False), T.LABELLER_STEPS)
 
 
-def label_batch(batch: DataFrame, sink_path: str, as_of: float, delta_seconds: float,
-                scorer: Scorer = keyword_scorer, names: Sequence[str | None] = LABEL_NAMES,
-                include_pull_requests: bool = False) -> None:
-    """Label one batch of snapshots and append new labels to the sink."""
-    # An issue edited twice inside one batch: keep its latest snapshot (ties on
-    # the update time: a labelled or pull-request state wins, then the text
-    # decides, so the choice never depends on task order).  A partial
-    # aggregate, so a hot issue costs one row per map task.
-    state = F.struct("updated_s", F.coalesce(F.size("label_names"), F.lit(0)).alias("n_labels"), "pull_request",
-                     "title", "body", "label_names")
-    latest = (batch.withColumn("issue_num", T.issue_number("url"))
-              .groupBy("repo", "issue_num").agg(F.max(state).alias("s"))
-              .select("repo", "issue_num", "s.*"))
-    rows = io.recent_since(latest, "updated_s", as_of, delta_seconds)
-    rows = io.unlabelled_only(rows, labels_col="label_names")
+def judged(snapshots: DataFrame, as_of: Column, delta_seconds: float, scorer: Scorer = keyword_scorer,
+           names: Sequence[str | None] = LABEL_NAMES, include_pull_requests: bool = False) -> DataFrame:
+    """One narrow row per snapshot: its issue, its place among the issue's snapshots, its label, and whether that is wanted."""
+    scored = scorer(snapshots.withColumn("X", labeller_text()))
+    label = T.label_name("pred", names)
+    wanted = (F.col("updated_s") >= as_of - F.lit(float(delta_seconds))) & (F.coalesce(F.size("label_names"), F.lit(0)) <= 0)
     if not include_pull_requests:
-        rows = rows.filter(F.col("pull_request").isNull())
-    scored = scorer(rows.withColumn("X", labeller_text()))
-    io.append_labels(scored.select("repo", "issue_num", T.label_name("pred", names).alias("label")), sink_path)
+        wanted = wanted & F.col("pull_request").isNull()
+    # A snapshot's texts only decide between snapshots that are equal otherwise, by their digest.
+    texts = F.sha2(F.concat_ws("\n", F.length("title").cast("string"), "title", "body"), 256)
+    return scored.select(
+        "repo", T.issue_number("url").alias("issue_num"), "updated_s", F.coalesce(F.size("label_names"), F.lit(0)).alias("n_labels"),
+        "pull_request", texts.alias("digest"), label.alias("label"), F.coalesce(wanted & label.isNotNull(), F.lit(False)).alias("wanted"))
+
+
+def _first_label(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The label of an issue's latest snapshot in the batch, unless the issue has one already.
+
+    Ties on the update time: a labelled or pull-request state wins, then the digest.
+    """
+    if state.exists:
+        return
+    best, choice = None, None
+    for f in frames:
+        for updated, n, pull, digest, label, wanted in zip(f["updated_s"], f["n_labels"], f["pull_request"], f["digest"], f["label"], f["wanted"], strict=True):
+            place = (not pd.isna(updated), 0 if pd.isna(updated) else updated, n, pull is not None, pull or "", digest)
+            if best is None or place > best:
+                best, choice = place, label if wanted else None
+    if choice is not None:
+        state.update((True,))
+        yield pd.DataFrame({"repo": [key[0]], "issue_num": pd.array([key[1]], dtype="Int64"), "label": [choice]})
+
+
+def labelled_stream(snapshots: DataFrame, as_of: Column, delta_seconds: float, scorer: Scorer = keyword_scorer,
+                    names: Sequence[str | None] = LABEL_NAMES, include_pull_requests: bool = False) -> DataFrame:
+    """The stream of ``(repo, issue_num, label)``, each issue at most once ever."""
+    rows = judged(snapshots, as_of, delta_seconds, scorer, names, include_pull_requests)
+    return rows.groupBy("repo", "issue_num").applyInPandasWithState(
+        _first_label, "repo string, issue_num bigint, label string", "labelled boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """One folder per batch, overwritten by a replay; a few files, however many tasks kept state."""
+    batch.coalesce(SINK_FILES).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``(repo, issue_num, label)`` of a stream's sink."""
+    return spark.read.schema("repo string, issue_num bigint, label string, batch bigint").parquet(path).drop("batch")
+
+
+def compact_labels(spark: SparkSession, path: str, to: str) -> None:
+    """The sink's labels rewritten by repo, in files of a sensible size, for readers of many batches."""
+    read_labels(spark, path).repartitionByRange("repo", "issue_num").write.mode("overwrite").partitionBy("repo").parquet(to)
 
 
 def run_incremental(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str,
-                    as_of: float | Callable[[], float], delta_seconds: float, scorer: Scorer = keyword_scorer,
+                    as_of: float | Callable[[], float] | None, delta_seconds: float, scorer: Scorer = keyword_scorer,
                     names: Sequence[str | None] = LABEL_NAMES, include_pull_requests: bool = False,
                     max_files_per_trigger: int | None = None, interval: str | None = None,
                     stop_after: float | None = None) -> None:
     """Run the stream over every snapshot file not yet consumed.
 
-    ``as_of`` is the clock: a fixed time (reruns are deterministic) or a
-    function that each batch calls.  Without ``interval`` the stream stops when
-    all files are consumed; with it, it runs on until ``stop_after`` seconds.
+    ``as_of`` is the clock: a fixed time (reruns are deterministic), a function that is called when
+    the stream starts, or None for the time of each batch.  Without ``interval`` the stream stops
+    when all files are consumed; with it, it runs on until ``stop_after`` seconds.
     """
-    clock = as_of if callable(as_of) else lambda: as_of
+    clock = F.current_timestamp().cast("double") if as_of is None else F.lit(float(as_of() if callable(as_of) else as_of))
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_path)
-
-    def each(batch: DataFrame, _batch_id: int) -> None:
-        label_batch(batch, sink_path, clock(), delta_seconds, scorer, names, include_pull_requests)
-
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_path)
-    query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    labelled = labelled_stream(reader.parquet(source_path), clock, delta_seconds, scorer, names, include_pull_requests)
+    writer = labelled.writeStream.outputMode("append").foreachBatch(lambda batch, i: write_batch(batch, i, sink_path)).option(
+        "checkpointLocation", checkpoint_path)
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     if interval and stop_after is not None:
         query.awaitTermination(stop_after)
         query.stop()
