@@ -19,8 +19,10 @@ patterns run in time linear in the text.  Offsets are code points, ends exclusiv
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,15 +91,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # Generators: (kind, pattern, what must be in the text); each runs in linear time.
 AT = r"(?:@|\x20?[\[({](?:at|AT)[\])}]\x20?|\x20at\x20)"
 DOT = r"(?:\.|\x20?[\[({](?:dot|DOT)[\])}]\x20?|\x20dot\x20)"
-WORD = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
+WORD = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
 GENERATORS = (
-    ("email", re.compile(WORD + AT + r"[A-Za-z0-9-]{1,63}(?:" + DOT + r"[A-Za-z0-9-]{1,63}){1,4}"), ("@", "at", "AT")),
-    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])"), (":",)),
+    ("email", re.compile(WORD + AT + r"[A-Za-z0-9-]++(?:" + DOT + r"[A-Za-z0-9-]++)++"), ("@", "at", "AT")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}(?:::|:[0-9A-Fa-f]{1,4}:))(?:[0-9A-Fa-f]{1,4})?(?:::?[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![0-9A-Za-z:])"), (":",)),
     ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])"), (".",)),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{3,6}(?:[\x20./_-]{0,2}[0-9]{2,6}){2,5}(?![0-9A-Za-z])"), ()),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"), ()),
 )
-HAS_DIGITS = re.compile(r"[0-9]{2}")
+HAS_DIGIT = re.compile(r"[0-9]")
 
 GOOD_WORDS = {
     "email": ("mail", "email", "contact", "write", "reach", "address"),
@@ -112,12 +114,20 @@ CONTEXT = 32
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    digits = HAS_DIGITS.search(text) is not None
+    digits = HAS_DIGIT.search(text) is not None
     return [(kind, *m.span()) for kind, pattern, needs in GENERATORS
-            if (digits or kind == "email") and (not needs or any(n in text for n in needs))
+            if (needs and any(n in text for n in needs)) or (not needs and digits)
             for m in pattern.finditer(text)]
 
 
+def colon_address(s: str) -> bool:
+    """Is ``s`` an address of eight hexadecimal groups, with one stretch of zeros left out at most?"""
+    try:
+        return ":" in s and ipaddress.ip_address(s).version == 6
+    except ValueError:
+        return False
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     s = text[start:end]
     d = digits_of(s)
@@ -139,6 +149,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(w in GOOD_WORDS[kind] for w in words)), float(any(w in BAD_WORDS for w in words)),
         float(prev.isalnum()), float(nxt.isalnum()), float(prev in "#$€£=v" if prev else 0), float(nxt in "%$€£" if nxt else 0),
         float(host.isalpha() and 2 <= len(host) <= 6), float(tail.isalpha()), float(host in TOP_DOMAINS),
+        float(colon_address(s)),
         float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-/. ][0-1]?[0-9][-/. ][0-3]?[0-9].*", s))),
     ]
 
@@ -156,7 +167,13 @@ def labelled_candidates(n: int = LABELLED_ROWS, seed: int = 3) -> list[tuple[str
         return sep.join(body[i:i + 4] for i in range(0, len(body), 4))
 
     def octet():
-        return str(rng.randint(0, 255))
+        return str(rng.randint(0, 255) if rng.random() < 0.8 else rng.randint(0, 9))
+
+    def names():
+        return "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4)))
+
+    def group(size=None):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(size or rng.randint(1, 4)))
 
     def good():
         kind = rng.choice(KINDS)
@@ -165,8 +182,12 @@ def labelled_candidates(n: int = LABELLED_ROWS, seed: int = 3) -> list[tuple[str
             dot = rng.choice((".", " [dot] ", "[dot]", " (dot) ", " dot ")) if at != "@" else rng.choice((".", " dot ", "[dot]"))
             return kind, f"{word()}{rng.choice(('.', '_', ''))}{num(rng.randint(0, 2))}{at}{word()}{rng.choice(('', num(1)))}{dot}{rng.choice(TOP_DOMAINS)}"
         if kind == "ip":
-            if rng.random() < 0.5:
-                return kind, ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
+            form = rng.random()
+            if form < 0.25:
+                return kind, ":".join(group(4) for _ in range(8))
+            if form < 0.5:  # zeros left out
+                front, back = rng.randint(0, 3), rng.randint(1, 4)
+                return kind, ":".join(group() for _ in range(front)) + "::" + ":".join(group() for _ in range(back))
             return kind, rng.choice((".", "[.]", ".")).join(octet() for _ in range(4))
         if kind == "card":
             return kind, card()
@@ -183,7 +204,7 @@ def labelled_candidates(n: int = LABELLED_ROWS, seed: int = 3) -> list[tuple[str
         if pick == 2:
             return "phone", f"{num(2)}-{num(2)}-{num(3)}"
         if pick == 3:
-            return "ip", ":".join(num(2) for _ in range(3))
+            return "ip", rng.choice((":".join(num(2) for _ in range(3)), f"{num(1)}::{word()}", f"::{group(8)}", f"{names()}::{names()}"))
         if pick == 4:
             return "email", f"{word()} at {word()}.{word().capitalize()}"
         if pick == 5:
@@ -229,20 +250,41 @@ class Judge:
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
         """Spans to add to ``base``: most probable first, none overlapping another span."""
-        proposed = [c for c in candidates(text) if free(base, c[1], c[2])]
+        kept = Disjoint(base)
+        proposed = [c for c in candidates(text) if kept.free(c[1], c[2])]
         if not proposed:
             return []
         p = self.model.probability(np.array([features(text, *c) for c in proposed]))
-        taken: list[tuple[str, int, int, float]] = []
+        taken, spans = Disjoint([]), []
         for i in np.lexsort((np.arange(len(p)), -p)):
             kind, a, b = proposed[i]
-            if p[i] >= self.thresholds[kind] and free(taken, a, b):
-                taken.append((kind, a, b, float(p[i])))
-        return taken
-
-
-def free(spans: list, start: int, end: int) -> bool:
-    return all(end <= s[1] or s[2] <= start for s in spans)
+            if p[i] >= self.thresholds[kind] and taken.free(a, b):
+                taken.add(a, b)
+                spans.append((kind, a, b, float(p[i])))
+        return spans
+
+
+class Disjoint:
+    """Taken stretches of a text, kept apart and in order, so that a test is a binary search."""
+
+    def __init__(self, spans: list):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:  # base spans of two kinds may overlap
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
 
 
 @lru_cache(maxsize=1)

@@ -40,6 +40,7 @@ BLOCK = 2048           # most vectors compared by one task at once
 SAMPLE = 20_000
 SPILL = 0.05           # share of a node's vectors on either side of the cut that go to both,
 WIDTH = 0.126          # and all this near to the cut (a random projection of unit vectors spreads by 1)
+LEAST_KEEP = 0.001     # below this measured share a forest would need over 6,900 trees; then it raises
 SHRINK = 0.7           # a split is made only if no side keeps more than this share
 KEEP = 0.91            # chance per split that a pair at cosine 0.9 stays together for vectors spread evenly round the origin; no more is assumed of others
 
@@ -150,7 +151,10 @@ def tree_chance(sample: np.ndarray, n: int, threshold: float, depth: int, most:
     half = trials // 2
     missed = np.array([comb(trials - k, half) / comb(trials, half) for k in hits.tolist()])
     share = missed.mean() + 3 * missed.std() / len(x) ** 0.5
-    return max(0.01, 1 - float(share) ** (1 / half) if share else 1.0)
+    keep = 1 - float(share) ** (1 / half) if share else 1.0
+    if keep < LEAST_KEEP:
+        raise ValueError(f"a tree keeps only {keep:.5f} of the pairs at the threshold together: a wider SPILL or larger leaves are needed")
+    return keep
 
 
 def _assign(vectors: DataFrame, dim: int, forest: Forest) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import brute
@@ -107,6 +108,42 @@ def test_personal_data_query_columns(spark, tmp_path):
     assert got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["spans"] == ""
 
 
+@pytest.mark.parametrize("address", ["fe80::1", "2001:db8::1", "::1", "fe80::1ff:fe23:4567:890a", "8[.]8[.]4[.]4", "1.2.3[.]4",
+                                     "2001:0db8:85a3:0000:0000:8a2e:0370:7334"])
+def test_addresses_of_all_forms_are_proposed_and_taken(address):
+    text = f"the server address {address} of today"
+    assert ("ip", 19, 19 + len(address)) in pii.candidates(text)
+    assert [s[:3] for s in pii.spans_of(text, pii.judge())] == [("ip", 19, 19 + len(address))]
+
+
+def test_code_and_times_are_left_alone():
+    for text in ("std::vector and a::b", "at 12:30:45 today", "key: value: other", "bad::face"):
+        assert pii.spans_of(text, pii.judge()) == []
+
+
+def test_long_proposals_are_whole_and_many_spans_are_quick():
+    name = "a" * 200 + " [at] " + "b" * 100 + ".example.mail.co.uk.org"
+    assert ("email", 6, 6 + len(name)) in pii.candidates("write " + name + " now")
+    t0 = time.time()
+    spans = pii.spans_of("host 10.0.0.1, fe80::1 and call 555-123-4567; " * 4000, pii.judge())
+    assert len(spans) >= 8000 and time.time() - t0 < 20
+
+
+def test_disjoint_equals_a_scan():
+    rng = random.Random(2)
+    for _ in range(200):
+        base = [("ip", a, a + rng.randrange(1, 9)) for a in (rng.randrange(100) for _ in range(rng.randrange(6)))]
+        index, taken = pii.Disjoint(base), list(base)
+        for _ in range(30):
+            a = rng.randrange(110)
+            b = a + rng.randrange(1, 6)
+            free = all(b <= s[1] or s[2] <= a for s in taken)
+            assert index.free(a, b) == free
+            if free:
+                index.add(a, b)
+                taken.append(("ip", a, b))
+
+
 def test_redaction(docs, none):
     assert pii.redact("a@b.co x 1.2.3.4", [("email", 0, 6), ("ip", 9, 16)]) == "[EMAIL] x [IP]"
     assert pii.find_personal_data(none, with_text=True).count() == 0
