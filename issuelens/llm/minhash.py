@@ -184,12 +184,12 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int =
 
 
 def _partners(group: pa.Table, threshold: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different parts in one bucket block whose sketches may belong to similar bags."""
-    key, part, outer, weight = (group[c].to_numpy() for c in ("key", "part", "outer", "weight"))
+    """Pairs of different parts, one row at home and one visiting, whose sketches may belong to similar bags."""
+    key, part, home, weight = (group[c].to_numpy() for c in ("key", "part", "home", "weight"))
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-    inner = np.flatnonzero(group["home"].to_numpy())
+    inner = np.flatnonzero(home)
     found_a, found_b = [], []
-    for i in np.flatnonzero(outer):
+    for i in np.flatnonzero(~home):
         ok = inner[part[inner] != part[i]]
         both = weight[ok] + weight[i]
         differ = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1, dtype=np.int64)
@@ -202,28 +202,38 @@ def _partners(group: pa.Table, threshold: float, best: bool) -> tuple[np.ndarray
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def likely_pairs(tagged: DataFrame, sketches: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Distinct (a, b) of different parts that share a bucket and look similar.
+def meetings(tagged: DataFrame) -> DataFrame:
+    """(band, block, visit, key, part, home) of ``tagged`` (band, key, part): who meets whom.
 
-    ``tagged`` has (band, key, part).  A large bucket is cut into blocks: each member is at
-    home in one, and members outside the bucket's largest part visit all of them.
+    A bucket's members are dealt to blocks, and those outside its largest part, which visit the
+    blocks, are dealt to blocks of visitors.  Every block meets every block of visitors in a group of
+    its own, so no group has more than two blocks' rows, however many parts a bucket has.
     """
     per = tagged.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"),
-                                  F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    t = tagged.join(per, "band").withColumn("outer", F.col("part") != F.col("main"))
-    t = t.withColumn("own", F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int"))
-    seen_in = F.when(F.col("outer"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    t = t.withColumn("block", F.explode(seen_in)).withColumn("home", F.col("block") == F.col("own"))
-    t = t.join(sketches, "key").select("band", "block", "key", "part", "outer", "home", "sketch", "weight")
+    per = per.groupBy("band").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total"))
+    per = per.select("band", "main.part", "main.n", "total").withColumnsRenamed({"part": "main", "n": "n_main"})
+    t = tagged.join(per, "band")
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    visits = F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("n_main")) / BLOCK).cast("int"))
+    at_home = t.select("band", "key", "part", F.pmod(F.xxhash64("key", "band"), blocks).cast("int").alias("block"),
+                       F.explode(F.sequence(F.lit(0), visits - 1)).alias("visit"), F.lit(True).alias("home"))
+    visiting = t.filter(F.col("part") != F.col("main")).select(
+        "band", "key", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
+        F.pmod(F.xxhash64("band", "key"), visits).cast("int").alias("visit"), F.lit(False).alias("home"))
+    return at_home.union(visiting)
+
+
+def likely_pairs(tagged: DataFrame, sketches: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Distinct (a, b) of different parts that share a bucket and look similar; ``tagged`` has (band, key, part)."""
+    t = meetings(tagged).join(sketches, "key").select("band", "block", "visit", "key", "part", "home", "sketch", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            band, block = t["band"].to_numpy(), t["block"].to_numpy()
-            ends = np.flatnonzero((band[1:] != band[:-1]) | (block[1:] != block[:-1])) + 1
+            of = [t[c].to_numpy() for c in ("band", "block", "visit")]
+            ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in of], axis=0)) + 1
             for i, j in zip([0, *ends], ends, strict=False):
                 yield _pairs_batch(t.slice(i, j - i))
             rest = t.slice(ends[-1]) if len(ends) else t
@@ -234,7 +244,7 @@ def likely_pairs(tagged: DataFrame, sketches: DataFrame, threshold: float, best:
         a, b = _partners(group.combine_chunks(), threshold, best)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    t = t.repartition("band", "block").sortWithinPartitions("band", "block")
+    t = t.repartition("band", "block", "visit").sortWithinPartitions("band", "block", "visit")
     return t.mapInArrow(run, "a bigint, b bigint").distinct()
 
 

@@ -460,3 +460,16 @@ def test_line_keys_are_independent(spark):
     assert all(r["h2"] not in (r["x"], r["chained"]) for r in got)
     one = rows.select(F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     assert {r["h2"] for r in got} == {r["h2"] for r in one.collect()}
+
+
+def test_groups_of_unlike_members_stay_bounded(spark, monkeypatch):
+    """A bucket of thousands of parts: no group exceeds two blocks, and every pair of parts still meets."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    n = 1500
+    sketch = minhash.odd_sketch(*minhash.shingles(b"one two three four five six seven eight", 5))
+    tagged = spark.createDataFrame([(1, i, i if i >= 400 else 0) for i in range(n)], "band bigint, key bigint, part bigint")
+    sketches = spark.createDataFrame([(i, sketch, 1) for i in range(n)], "key bigint, sketch binary, weight bigint")
+    sizes = [r["count"] for r in minhash.meetings(tagged).groupBy("band", "block", "visit").count().collect()]
+    assert len(sizes) > 300 and max(sizes) <= 2 * 1.6 * 64
+    pairs = minhash.likely_pairs(tagged, sketches, 0.8, best=False)
+    assert pairs.count() == n * (n - 1) // 2 - 400 * 399 // 2
