@@ -4,9 +4,10 @@ Every document gets counts (words, characters in words, symbols, repeated lines,
 words in repeated five-word windows).  Two fixed base rules reject the shortest
 and the most repetitive texts.  The remaining verdict has no fixed cutoff: each
 ratio below is summarised per language and source by a mergeable quantile sketch
-(counts in logarithmic buckets, relative error ``ERROR``), small groups take the
-merged sketch of their language, or of all rows, and a document is rejected if a
-ratio lies far outside the bulk of its own group.
+(counts in logarithmic buckets, relative error ``ERROR``).  A group's quantiles are averaged with
+those of its language's merged sketch, and these with those of all rows, by
+n / (n + ``PRIOR_ROWS``), so small groups lean on the larger ones and no row more or less
+switches thresholds.  A document is rejected if a ratio lies far outside the bulk of its own group.
 
 Everything is DataFrame functions: no Python runs on the executors.  The counts
 are computed once and stored; sketches are grouped counts, so a source with a
@@ -31,7 +32,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ERROR = 0.02                    # relative error of the sketch
 GAMMA = (1 + ERROR) / (1 - ERROR)
 TINY = 0.001                    # ratios up to this share the lowest bucket
-MIN_ROWS = 50                   # a smaller group uses its language's sketch, then that of all rows
+PRIOR_ROWS = 50                 # a group's quantiles are drawn to its language's as if it had this many rows of them
 
 # ratio: (least spread counted, rejected above, rejected below)
 RATIOS = {
@@ -139,9 +140,11 @@ def fences(sketch: DataFrame) -> DataFrame:
     every = quantiles(sketch, []).select(F.col("ratio").alias("_a"), F.struct("total", "lo", "mid", "hi").alias("by_all"))
     j = own.join(lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("ratio") == F.col("_r")), "left").drop("_l", "_r")
     j = j.join(every, F.col("ratio") == F.col("_a"), "left").drop("_a")
-    use = (F.when(F.col("total") >= MIN_ROWS, F.struct("total", "lo", "mid", "hi"))
-           .when(F.col("by_lang.total") >= MIN_ROWS, F.col("by_lang")).otherwise(F.col("by_all")))
-    j = j.withColumn("u", use)
+    def drawn(n: Column, own: Column, to: Column) -> Column:
+        return (n * own + F.lit(float(PRIOR_ROWS)) * to) / (n + F.lit(float(PRIOR_ROWS)))
+
+    of_lang = {c: drawn(F.col("by_lang.total"), F.col(f"by_lang.{c}"), F.col(f"by_all.{c}")) for c in ("lo", "mid", "hi")}
+    j = j.withColumn("u", F.struct(*[drawn(F.col("total"), F.col(c), v).alias(c) for c, v in of_lang.items()]))
     least = F.element_at(F.create_map(*[x for k, v in RATIOS.items() for x in (F.lit(k), F.lit(v[0]))]), F.col("ratio"))
     high = F.col("u.mid") + FENCE * F.greatest(F.col("u.mid") - F.col("u.lo"), least)
     low = F.col("u.mid") - FENCE * F.greatest(F.col("u.hi") - F.col("u.mid"), least)

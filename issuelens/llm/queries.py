@@ -101,9 +101,10 @@ def _decile_sql(keys: str) -> str:
            f"sum(n) over (partition by {by}ratio) as total from (select {by}ratio, bucket, sum(n) as n from sk group by all)")
     deciles = ", ".join(f"min(case when upto >= {f}::double * total then bucket end) as b_{name}" for name, f in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9)))
     values = ", ".join(f"{_value_sql('b_' + n)} as {n}" for n in ("lo", "mid", "hi"))
-    return f"select *, {values} from (select {by}ratio, max(total) as total, {deciles} from ({run}) group by all)"
+    return f"select *, {values} from (select {by}ratio, max(total)::double as total, {deciles} from ({run}) group by all)"
 
 
+_P = f"{quality.PRIOR_ROWS}.0::double"
 _PICK = " ".join(f"when ratio = '{k}' then {v[0]}::double" for k, v in quality.RATIOS.items())
 _BAD = " or ".join(f"(r.ratio = '{k}' and ({' or '.join(x for x, on in (('r.v > f.high', v[1]), ('r.v < f.low', v[2])) if on)}))"
                    for k, v in quality.RATIOS.items())
@@ -137,7 +138,7 @@ own as ({_decile_sql("lang, source")}),
 bylang as ({_decile_sql("lang")}),
 byall as ({_decile_sql("")}),
 u as (
-  select o.lang, o.source, o.ratio, {", ".join(f"case when o.total >= {quality.MIN_ROWS} then o.{n} when l.total >= {quality.MIN_ROWS} then l.{n} else a.{n} end as {n}" for n in ("lo", "mid", "hi"))}
+  select o.lang, o.source, o.ratio, {", ".join(f"(o.total * o.{n} + {_P} * ((l.total * l.{n} + {_P} * a.{n}) / (l.total + {_P}))) / (o.total + {_P}) as {n}" for n in ("lo", "mid", "hi"))}
   from own o left join bylang l on o.lang is not distinct from l.lang and o.ratio = l.ratio left join byall a on o.ratio = a.ratio),
 f as (
   select lang, source, ratio, mid + {quality.FENCE}::double * greatest(mid - lo, case {_PICK} end) as high,
