@@ -302,6 +302,17 @@ def test_similar_lines_share_a_rarest_shingle(spark):
         assert len(bands[key]) == n - -(-4 * n // 5) + 1
 
 
+def test_ring_is_the_first_hash_after_each_anchor(spark):
+    rng = random.Random(9)
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 5, 36, 40, 700)]
+    sets += [[-(1 << 63), (1 << 63) - 1], [-(1 << 63) + (1 << 63) // 36] * 3]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "i LONG, h ARRAY<LONG>")
+    for r in line_dedup.with_ring(rows, F.col("h"), "ring").collect():
+        s = sorted(r["h"])
+        anchors = [-(1 << 63) + (2 * i + 1) * (1 << 63) // 36 for i in range(36)]
+        assert r["ring"] == [next((x for x in s if x >= a), s[0]) for a in anchors]
+
+
 def test_large_buckets_of_unlike_lines(spark, monkeypatch):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyz"
