@@ -11,6 +11,8 @@ rows still in play, is aggregated (map-side combined, at most 65,536 rows back
 to the driver), the bucket holding the k-th row is kept, and so on.  With md5
 keys one or two passes reach a bucket of one row; each pass reads only the id
 column.  Training rows are then a plain filter ``prefix(key) <= found prefix``.
+Only where an id is repeated just at the cut do further passes go on with the md5
+of the whole row, so sizes are exact then too; rows that are equal in every column stay together.
 """
 
 from __future__ import annotations
@@ -36,11 +38,31 @@ def train_size(n: int, share: float) -> int:
     return math.ceil(Fraction(str(share)) * n)
 
 
+def row_key(df: DataFrame) -> Column:
+    """md5 of all columns of a row; equal for equal rows only."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+
+
+def _starts(key: Column, row: Column, prefix: str) -> Column:
+    """``key`` followed by ``row`` starts with ``prefix``."""
+    if len(prefix) <= _KEY_LEN:
+        return F.substring(key, 1, len(prefix)) == F.lit(prefix)
+    return (key == F.lit(prefix[:_KEY_LEN])) & (F.substring(row, 1, len(prefix) - _KEY_LEN) == F.lit(prefix[_KEY_LEN:]))
+
+
+def _up_to(key: Column, row: Column, prefix: str) -> Column:
+    """``key`` followed by ``row`` is not above ``prefix`` in their first digits."""
+    if len(prefix) <= _KEY_LEN:
+        return F.substring(key, 1, len(prefix)) <= F.lit(prefix)
+    tie = F.substring(row, 1, len(prefix) - _KEY_LEN) <= F.lit(prefix[_KEY_LEN:])
+    return (key < F.lit(prefix[:_KEY_LEN])) | ((key == F.lit(prefix[:_KEY_LEN])) & tie)
+
+
 def _kth_prefixes(keyed: DataFrame, share: float) -> dict:
     """Per group: the shortest key prefix that ends at the k-th smallest key.
 
-    ``keyed`` has columns ``_g`` (group) and ``_h`` (key).  Returns
-    ``{group: prefix}``; ``""`` means no training rows.
+    ``keyed`` has columns ``_g`` (group), ``_h`` (key) and ``_r`` (key of the whole row, which
+    is read only once ``_h`` is used up).  Returns ``{group: prefix}``; ``""`` means no training rows.
     """
     length = 0
     open_groups: dict = {}       # group -> (prefix, k remaining)
@@ -52,10 +74,11 @@ def _kth_prefixes(keyed: DataFrame, share: float) -> dict:
         else:
             cond = None
             for g, (prefix, _) in open_groups.items():
-                c = (F.col("_g") == F.lit(g)) & (F.substring("_h", 1, length) == F.lit(prefix))
+                c = (F.col("_g") == F.lit(g)) & _starts(F.col("_h"), F.col("_r"), prefix)
                 cond = c if cond is None else (cond | c)
             rows = keyed.filter(cond)
-        hist = (rows.groupBy("_g", F.substring("_h", length + 1, _DIGITS).alias("_b"))
+        digits = F.substring("_h", length + 1, _DIGITS) if length < _KEY_LEN else F.substring("_r", length - _KEY_LEN + 1, _DIGITS)
+        hist = (rows.groupBy("_g", digits.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_n"))
                 .collect())
         by_group: dict = {}
@@ -75,7 +98,7 @@ def _kth_prefixes(keyed: DataFrame, share: float) -> dict:
             for b, n in sorted(by_group.get(g, [])):
                 if seen + n >= k:
                     new_prefix, k_left = prefix + b, k - seen
-                    if n == 1 or length + _DIGITS >= _KEY_LEN:
+                    if n == k_left or length + _DIGITS >= 2 * _KEY_LEN:
                         result[g] = new_prefix
                     else:
                         next_open[g] = (new_prefix, k_left)
@@ -97,7 +120,8 @@ def with_train_flag(df: DataFrame, share: float = 0.8, seed: int = 1, id_col: st
         raise ValueError("name the groups: the driver keeps a histogram per group")
     key = shuffle_key(F.col(id_col), seed)
     g = F.col(group_col) if group_col else F.lit("all")
-    keyed = df.select(g.alias("_g"), key.alias("_h"))
+    row = row_key(df)
+    keyed = df.select(g.alias("_g"), key.alias("_h"), row.alias("_r"))
     if groups is not None:
         keyed = keyed.filter(F.col("_g").isin(list(groups)))
     prefixes = _kth_prefixes(keyed, share)
@@ -105,8 +129,7 @@ def with_train_flag(df: DataFrame, share: float = 0.8, seed: int = 1, id_col: st
     for gv, prefix in prefixes.items():
         if not prefix:
             continue
-        cond = F.when((g == F.lit(gv)) & (F.substring(key, 1, len(prefix)) <= F.lit(prefix)),
-                      F.lit(True)).otherwise(cond)
+        cond = F.when((g == F.lit(gv)) & _up_to(key, row, prefix), F.lit(True)).otherwise(cond)
     return df.withColumn(flag, cond)
 
 

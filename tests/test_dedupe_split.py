@@ -90,3 +90,18 @@ def test_split_needs_named_groups(spark):
     from issuelens.operators import split
     with pytest.raises(ValueError):
         split.with_train_flag(spark.range(4).withColumn("g", F.lit("a")), group_col="g")
+
+
+def test_split_is_exact_with_repeated_ids(spark):
+    rows = [(7, f"text {i}", None if i % 3 else "x") for i in range(40)] + [(i, "other", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "id LONG, text STRING, more STRING")
+    picked = []
+    for parts in (1, 8):
+        out = split.with_train_flag(df.repartition(parts), 0.5, 3).filter("is_train").collect()
+        assert len(out) == 25
+        picked.append({tuple(r) for r in out})
+    assert picked[0] == picked[1]
+    whole = spark.createDataFrame(rows[:40], "id LONG, text STRING, more STRING")
+    assert split.with_train_flag(whole, 0.8).filter("is_train").count() == 32
+    plan = split.with_train_flag(df.filter("id <> 7"), 0.5).select("id", "is_train")._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan
