@@ -58,6 +58,12 @@ def scan_issues(spark: SparkSession, sf: str) -> DataFrame:
     return io.scan_issues(spark, path).select(*DUMP_COLS)
 
 
+@register("scan_array_dumps", "S1", W(O.base_ctes(), "select repo, id, title, body, labels from issues"))
+def scan_array_dumps(spark: SparkSession, sf: str) -> DataFrame:
+    path = io.write_array_dumps(C.issues(spark, sf).select("title", "body", "labels", "id", "repo"), scratch_path(spark, "array-dump"))
+    return io.scan_array_dumps(spark, path, repo_pattern=io.REPO_FROM_FOLDER).select(*DUMP_COLS)
+
+
 @register("union_repos", "S2/U1", W(O.base_ctes(), """
 select repo, id, title, body, labels,
   case when repo in ('repo0', 'repo1', 'repo2') then 'seen' else 'unseen' end as split

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..session import scratch_path
 
@@ -54,6 +54,49 @@ def scan_issues(spark: SparkSession, paths: str | Sequence[str], schema: str | S
     return df.withColumn("repo", repo_from_path(repo_pattern))
 
 
+def scan_array_dumps(spark: SparkSession, paths: str | Sequence[str], schema: str = DUMP_SCHEMA,
+                     repo_pattern: str = REPO_FROM_FILE, first_key: str = "title", between: str = ",") -> DataFrame:
+    """Read files that hold one JSON array of flat records each, a file by many tasks.
+
+    The text source cuts a file into byte ranges at ``},{"first_key"``, the place between two
+    records whose first field is ``first_key`` (``between`` is what the writer puts there: ``,`` or
+    ``, ``).  It cannot stand inside a string: a quote there is escaped, and one that ends a string
+    is not followed by a name.  Records must be flat, since a list of objects could hold it.
+    A file written in another way (indented, other field order) is read whole, by one task.
+    A file that is not one whole array fails the read: a first pass over the pieces, without
+    parsing, sees that each file opens and closes its array once (a file cut short could
+    otherwise end like a piece), and a record that is not valid JSON raises when it is read.
+    """
+    fields = StructType.fromDDL(schema)
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in fields):
+        raise ValueError("records with lists or objects inside are read by scan_issues(json_array=True)")
+    start = '{"' + first_key + '"'
+    pieces = (spark.read.option("lineSep", "}" + between + start).option("recursiveFileLookup", True)
+              .text(list(paths) if not isinstance(paths, str) else paths))
+    value = F.regexp_replace("value", r"^\s+|\s+$", "")
+    opens, closes = F.col("_v").startswith("["), F.col("_v").endswith("]")
+    ends = pieces.select(value.alias("_v"), F.col("_metadata.file_path").alias("file")).filter("_v <> ''").groupBy("file")
+    broken = ends.agg(F.count_if(opens).alias("opened"), F.count_if(closes).alias("closed")).filter("opened <> 1 or closed <> 1")
+    names = [r["file"] for r in broken.select("file").limit(5).collect()]
+    if names:
+        raise ValueError(f"malformed dump, not one whole JSON array: {names}")
+    # Every piece becomes an array of its own.
+    text = F.concat(F.when(opens, F.lit("")).otherwise(F.lit("[" + start)), F.col("_v"),
+                    F.when(closes, F.lit("")).otherwise(F.lit("}]")))
+    records = pieces.select(value.alias("_v"), repo_from_path(repo_pattern).alias("repo"))
+    records = records.filter("_v <> ''").select("repo", F.from_json(text, ArrayType(fields), {"mode": "FAILFAST"}).alias("_all"))
+    return records.select("repo", F.explode("_all").alias("_x")).select("_x.*", "repo")
+
+
+def write_array_dumps(df: DataFrame, path: str, rows: int = 1000) -> str:
+    """JSON array files of about ``rows`` records (by ranges of ``id``), in one folder per repo."""
+    record = F.struct(*[F.col(c) for c in df.columns if c != "repo"])
+    pages = df.groupBy("repo", F.floor(F.col("id") / rows).alias("_page")).agg(
+        F.to_json(F.collect_list(record), {"ignoreNullFields": "false"}).alias("value"))
+    pages.select("repo", "value").write.option("maxRecordsPerFile", 1).partitionBy("repo").text(path)
+    return path
+
+
 def union_repos(frames: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name (columns missing in one input are null)."""
     out = frames[0]

@@ -171,3 +171,37 @@ def test_incremental_stream_labels_nothing_twice(spark):
     snaps.withColumn("updated_s", F.col("updated_s") + 1).write.mode("append").parquet(source)
     R.run_incremental(spark, source, sink, ckpt, as_of=100, delta_seconds=50)
     assert sorted(tuple(r) for r in R.read_labels(spark, sink).collect()) == first
+
+
+def test_array_dumps_are_read_by_many_tasks(spark, tmp_path):
+    rows = [{"title": f"t{i}", "body": b, "labels": "bug", "id": i} for i, b in enumerate(
+        ["plain", None, "ends with },{", '"},{"title":"x"', "[1]", "]", "", "\n ü \u2028 {", "x" * 3000] * 60)]
+    (tmp_path / "rust.json").write_text(json.dumps(rows, separators=(",", ":"), ensure_ascii=False))
+    (tmp_path / "go_removed_dups.json").write_text(json.dumps(rows[:9], indent=2))
+    (tmp_path / "one.json").write_text(json.dumps(rows[:1], separators=(",", ":")) + "\n")
+    (tmp_path / "none.json").write_text("[]")
+    want = {("rust", r["id"], r["body"]) for r in rows} | {("go", r["id"], r["body"]) for r in rows[:9]} | {("one", 0, "plain")}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = io.scan_array_dumps(spark, str(tmp_path))
+        found = got.select("repo", "id", "body", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(found) == len(want) and {tuple(r)[:3] for r in found} == want
+    assert len({r["task"] for r in found if r["repo"] == "rust"}) > 5
+    spaced = tmp_path / "spaced"
+    spaced.mkdir()
+    (spaced / "rust.json").write_text(json.dumps(rows))
+    assert io.scan_array_dumps(spark, str(spaced), between=", ").count() == len(rows)
+    assert io.scan_array_dumps(spark, str(spaced)).count() == len(rows)
+
+
+@pytest.mark.parametrize("broken", [lambda t: t[:-1], lambda t: t[:-2], lambda t: t[:-40], lambda t: t[1:], lambda t: t.replace('"id":3', '"id":')])
+def test_a_broken_array_dump_raises(spark, tmp_path, broken):
+    text = json.dumps([{"title": f"t{i}", "body": "b", "labels": "bug", "id": i} for i in range(5)], separators=(",", ":"))
+    (tmp_path / "rust.json").write_text(broken(text))
+    with pytest.raises(Exception, match="MALFORMED_RECORD|malformed|Malformed"):
+        io.scan_array_dumps(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError):
+        io.scan_array_dumps(spark, str(tmp_path), io.RAW_SCHEMA)
