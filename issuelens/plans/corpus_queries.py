@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import dedupe, labels, vocab
+from ..operators import dedupe, labels, sentences, vocab
 from ..sources import tables
 from . import common as C
 from . import oracle as O
@@ -214,6 +214,45 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
                                       F.array_join(s, "\n").alias("sentences"))
 
 
+_LOWER = f"'{sentences.UPPER}', '{sentences.LOWER}'"
+_LETTERS = "length(replace(word, '.', ''))"
+_PIECES = f"string_split(regexp_replace(translate(body, chr(1), ' '), '{sentences.BOUNDARY}', '\\1' || chr(1), 'g'), chr(1))"
+_ABBREVIATIONS = [
+    ("tok", f"select unnest(regexp_extract_all(body, '{sentences.WORD}')) as t from issues"),
+    ("wc", f"select translate(regexp_replace(t, '\\.+$', ''), {_LOWER}) as word, count(*) as n, "
+           "sum(case when t like '%.' and t not like '%..' then 1 else 0 end) as k from tok group by 1"),
+    ("sh", "select sum(k) / sum(n) as p0 from wc"),
+    ("scored", f"""select word, n, cast(k as bigint) as k,
+  2 * (k * (ln({sentences.ALWAYS}) - ln(p0)) + (n - k) * (ln({1 - sentences.ALWAYS}) - ln(1 - p0)))
+  * exp(-{_LETTERS}) * (length(word) - {_LETTERS} + 1) * pow({_LETTERS}, cast(k - n as double)) as score
+from wc, sh where k > 0"""),
+    ("abbr", f"select * from scored where score >= {sentences.LEAST_SCORE}"),
+]
+_TRAINED = _ABBREVIATIONS + [
+    ("cut", f"select id, list_filter({_PIECES}, lambda p: length(p) > 0) as ps from issues"),
+    ("pc", "select id, unnest(ps) as p, unnest(range(len(ps))) as i from cut"),
+    ("mk", f"select id, i, p || case when translate(regexp_extract(p, '{sentences.LAST_WORD}', 1), {_LOWER}) in (select word from abbr) "
+           "then '' else chr(1) end as p from pc"),
+    ("tx", "select id, list_filter(list_transform(string_split(string_agg(p, '' order by i), chr(1)), "
+           "lambda s: regexp_replace(s, '^[ \\n]+|[ \\n]+$', '', 'g')), lambda s: length(s) > 0) as ss from mk group by id"),
+]
+
+
+@register("abbreviations", "F18", W(O.base_ctes() + _ABBREVIATIONS, "select word, n, k, round(score, 6) as score from abbr"))
+def abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    found = sentences.abbreviations(C.issues(spark, sf), F.col("body"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@register("trained_sentences", "F18", W(O.base_ctes() + _TRAINED, """
+select i.id, cast(coalesce(len(ss), 0) as integer) as n_sentences, coalesce(array_to_string(ss, chr(10)), '') as sentences
+from issues i left join tx on i.id = tx.id"""))
+def trained_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    iss = C.issues(spark, sf)
+    out = sentences.sentences(iss, F.col("body"), sentences.abbreviations(iss, F.col("body")))
+    return out.select("id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", "\n").alias("sentences"))
+
+
 @register("extract_links", "F8", f"""
 select page_id, cast(len({O.extract_all('html', P.HTML_LINK, 1)}) as integer) as n_links,
   array_to_string({O.extract_all('html', P.HTML_LINK, 1)}, chr(10)) as links from pages""")
