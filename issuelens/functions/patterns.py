@@ -95,6 +95,11 @@ IMAGE_TOKEN = " IMAGE_TOKEN "
 CODE_SPAN = r"`[^`\n]*`"
 MARKDOWN_LINK = (r"!?\[[^\[\]]*\]\([ \t\n]*(?:<([^<>\n]*)>|([^ \t\n()<>]+))(?:[ \t\n]+[^()]*)?\)"
                  r"|<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^ \t\n<>]*)>")
+MARKDOWN_IMAGE = r"!\[[^\[\]]*\](?:\([^()]*\)|\[[^\[\]]*\])"
+LINK_DEFINITION = r"(?m)^ {0,3}\[([^\[\]\n]+)\]:[ \t]*<?([^ \t\n<>]+)>?[^\n]*$"
+# Link text; then a target in angle brackets, a plain target, or a label; or an autolink.
+ANY_LINK = (r"\[([^\[\]]*)\](?:\([ \t\n]*(?:<([^<>\n]*)>|([^ \t\n()<>]+))(?:[ \t\n]+[^()]*)?\)|\[([^\[\]]*)\])?"
+            r"|<([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^ \t\n<>]*)>")
 
 # Sentence boundary rule (stands in for a trained sentence splitter).
 SENTENCE_END = r"[.!?]+[ \t\n\r\f]+"

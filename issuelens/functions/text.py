@@ -145,6 +145,31 @@ def extract_markdown_links(text) -> Column:
     return F.transform(found, lambda m: F.concat(*[F.regexp_extract(m, P.MARKDOWN_LINK, i) for i in (1, 2, 3)]))
 
 
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def extract_rendered_links(text) -> Column:
+    """F8 on issue text, reference-style links included: ``[text][label]``, ``[label][]`` and
+    ``[label]`` take the target that the text's first line ``[label]: target`` gives, whatever the case of A-Z;
+    without one they are no links.  An image inside a link's text does not hide the link.  An empty
+    array for a null text."""
+    rendered = F.regexp_replace(F.regexp_replace(_col(text), P.FENCE, ""), P.CODE_SPAN, "")
+    plain = F.translate(rendered, ASCII_UPPER, ASCII_LOWER)
+    labels, targets = regex_all(plain, P.LINK_DEFINITION, 1), regex_all(rendered, P.LINK_DEFINITION, 2)
+    shown = F.regexp_replace(F.regexp_replace(rendered, P.LINK_DEFINITION, ""), P.MARKDOWN_IMAGE, "")
+
+    def target(m: Column, known: Column) -> Column:
+        part = [F.regexp_extract(m, P.ANY_LINK, i) for i in range(1, 6)]
+        given = F.concat(part[1], part[2], part[4])
+        label = F.translate(F.when(part[3] != "", part[3]).otherwise(part[0]), ASCII_UPPER, ASCII_LOWER)
+        place = F.array_position(known["labels"], label).cast("int")
+        return F.when(given != "", given).when(place > 0, F.get(known["targets"], place - 1)).otherwise(F.lit(""))
+
+    both = F.struct(labels.alias("labels"), targets.alias("targets"))
+    found = bound(both, lambda known: F.transform(regex_all(shown, P.ANY_LINK), lambda m: target(m, known)))
+    return F.coalesce(F.filter(found, lambda t: t != ""), F.array().cast("array<string>"))
+
+
 def html_to_text(html) -> Column:
     """images become `` IMAGE_TOKEN ``, then tags are stripped (entities kept)."""
     return F.regexp_replace(F.regexp_replace(_col(html), P.HTML_IMG, P.IMAGE_TOKEN), P.HTML_TAG, "")

@@ -267,6 +267,27 @@ _ISSUE_LINKS = (f"list_transform(list_filter(regexp_extract_all({_RENDERED}, {O.
                 "lambda m: " + " || ".join(f"regexp_extract(m, {O.rx(P.MARKDOWN_LINK)}, {i})" for i in (1, 2, 3)) + ")")
 
 
+_FOLD = f"'{T.ASCII_UPPER}', '{T.ASCII_LOWER}'"
+_LINK_PARTS = [f"regexp_extract(m, {O.rx(P.ANY_LINK)}, {i})" for i in range(1, 6)]
+_LINK_CTES = [
+    ("ren", f"select id, {_RENDERED} as t from issues"),
+    ("defs", f"select id, regexp_extract_all(translate(t, {_FOLD}), {O.rx(P.LINK_DEFINITION)}, 1) as ls, regexp_extract_all(t, {O.rx(P.LINK_DEFINITION)}, 2) as us, "
+             f"regexp_extract_all(regexp_replace(regexp_replace(t, {O.rx(P.LINK_DEFINITION)}, '', 'g'), {O.rx(P.MARKDOWN_IMAGE)}, '', 'g'), {O.rx(P.ANY_LINK)}) as ms from ren"),
+    ("each", "select id, ls, us, unnest(ms) as m, unnest(range(len(ms))) as i from defs"),
+    ("got", f"select id, i, {_LINK_PARTS[1]} || {_LINK_PARTS[2]} || {_LINK_PARTS[4]} as given, ls, us, "
+            f"translate(case when {_LINK_PARTS[3]} <> '' then {_LINK_PARTS[3]} else {_LINK_PARTS[0]} end, {_FOLD}) as label from each"),
+    ("tgt", "select id, i, case when given <> '' then given else coalesce(us[list_position(ls, label)], '') end as target from got"),
+    ("per", "select id, count(*) as n, string_agg(target, chr(10) order by i) as links from tgt where target <> '' group by id"),
+]
+
+
+@register("extract_rendered_links", "F8", W(O.base_ctes() + _LINK_CTES, """
+select i.id, cast(coalesce(n, 0) as integer) as n_links, coalesce(links, '') as links from issues i left join per on i.id = per.id"""))
+def extract_rendered_links(spark: SparkSession, sf: str) -> DataFrame:
+    links = T.extract_rendered_links("body")
+    return C.issues(spark, sf).select("id", F.size(links).alias("n_links"), F.array_join(links, "\n").alias("links"))
+
+
 @register("extract_issue_links", "F8", W(O.base_ctes(), f"""
 select id, cast(len({_ISSUE_LINKS}) as integer) as n_links, array_to_string({_ISSUE_LINKS}, chr(10)) as links from issues"""))
 def extract_issue_links(spark: SparkSession, sf: str) -> DataFrame:

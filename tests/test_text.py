@@ -116,3 +116,10 @@ def test_upper_case_numerals_count(spark):
 def test_markdown_links_of_issue_text(spark):
     text = "see [a](http://x/1)[b](</y z>) ![i](img.png) `[c](d)` <https://z.org/q> [e](f \"t\")\n```\n[g](h)\n```\n"
     assert _eval(spark, T.extract_markdown_links, [text]) == [["http://x/1", "/y z", "https://z.org/q", "f"]]
+
+
+def test_reference_style_and_nested_links(spark):
+    text = ("[a](http://x/1) [The Guide][Doc] [doc][] [doc] [none] [x][none] ![i][doc] [![b](i.png)](http://ci/z) <https://z.org/q> `[doc]`\n"
+            "[DOC]: <http://d/1> \"title\"\n[doc]: http://d/2\n```\n[doc]\n```\n")
+    want = ["http://x/1", "http://d/1", "http://d/1", "http://d/1", "http://ci/z", "https://z.org/q"]
+    assert _eval(spark, T.extract_rendered_links, [text, "", None, "[ ] [x] to do"]) == [want, [], [], []]
