@@ -205,3 +205,34 @@ def test_a_broken_array_dump_raises(spark, tmp_path, broken):
         io.scan_array_dumps(spark, str(tmp_path)).collect()
     with pytest.raises(ValueError):
         io.scan_array_dumps(spark, str(tmp_path), io.RAW_SCHEMA)
+
+
+def test_a_folder_of_the_sink_is_one_file(spark, tmp_path):
+    """Dealt by number, each of the 8 tasks would write a file to each folder."""
+    rows = spark.createDataFrame([("a", i, "bug") for i in range(2 * io.SINK_BUCKET)], "repo STRING, issue_num BIGINT, label STRING")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        io.append_labels(rows.repartition(8), str(tmp_path / "sink"))
+    finally:
+        spark.conf.set(conf, was)
+    assert len(list((tmp_path / "sink").rglob("*.parquet"))) == 2
+    assert io.read_sink(spark, str(tmp_path / "sink")).count() == 2 * io.SINK_BUCKET
+
+
+def test_state_is_kept_by_stretches_of_numbers(spark):
+    """600 issues and one without a number: state rows of stretches, not of issues; later snapshots add nothing."""
+    source, sink, ckpt = (scratch_path(spark, n) for n in ("src-test", "sink-test", "ckpt-test"))
+    rows = [("a", i, "panic", "error", f"https://x/issues/{i}", 90, None, []) for i in range(600)]
+    rows.append(("a", 0, "panic", "error", None, 90, None, []))
+    spark.createDataFrame(rows, R.SNAPSHOT_SCHEMA).write.parquet(source)
+    stream = R.labelled_stream(spark.readStream.schema(R.SNAPSHOT_SCHEMA).parquet(source), F.lit(100.0), 50)
+    query = stream.writeStream.outputMode("append").foreachBatch(lambda b, i: R.write_batch(b, i, sink)).option(
+        "checkpointLocation", ckpt).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) <= 4
+    numbers = [r["issue_num"] for r in R.read_labels(spark, sink).collect()]
+    assert sorted(n for n in numbers if n is not None) == list(range(600))
+    assert numbers.count(None) <= 1
