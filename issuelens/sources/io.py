@@ -196,7 +196,8 @@ def append_labels(labelled: DataFrame, path: str) -> None:
         rows = spark.read.schema(rows.schema).parquet(held)
         keys = ["repo", "bucket", "issue_num"]
         rows = rows.join(in_folders_of(rows, done).select(*keys), keys, "left_anti")
-    rows.write.mode("append").partitionBy("repo", "bucket").parquet(path)
+    # A folder has at most SINK_BUCKET numbers, so one task writes it; dealt by number, every task would write a file to each.
+    rows.repartition("repo", "bucket").write.mode("append").partitionBy("repo", "bucket").parquet(path)
 
 
 def in_folders_of(rows: DataFrame, done: DataFrame, most: int = MOST_FOLDERS) -> DataFrame:
