@@ -313,6 +313,29 @@ def test_ring_is_the_first_hash_after_each_anchor(spark):
         assert r["ring"] == [next((x for x in s if x >= a), s[0]) for a in anchors]
 
 
+def test_shingles_are_of_code_points(spark):
+    lines = ["", "ab", "ten signs!", "eleven sign", "\U0001f600" * 3 + "plain words and \u00e9\u4e2d" + "\U0001f601 more", "x" * 30]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i LONG, line STRING")
+    got = {r["i"]: r["h"] for r in rows.select("i", line_dedup.shingle_hashes(F.col("line")).alias("h")).collect()}
+    for i, x in enumerate(lines):
+        assert len(got[i]) == max(1, len(x) - line_dedup.SHINGLE + 1)
+        assert len(set(got[i])) == (len(brute.line_shingles(x)) or 1)
+    assert set(got[2]).isdisjoint(got[3])
+
+
+def test_buckets_are_sent_once(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(10)] + [(9, 99)], "band LONG, key LONG")
+    assert sorted(map(tuple, buckets.shared_buckets(rows).collect())) == [(b, k) for b in range(3) for k in (b, b + 7)]
+
+
+def test_marks_find_all_keys_and_few_others(spark):
+    lines = spark.range(20000).select(F.xxhash64("id").alias("h1"), "id")
+    table, bits = line_dedup.bitmap(lines.filter("id < 1000"), 1000)
+    assert set(table.columns) == {"word", "marks"} and table.count() <= bits // line_dedup.WORD
+    got = {r["id"] for r in line_dedup.marked(lines, table, bits).collect()}
+    assert set(range(1000)) <= got and len(got) < 1000 + 0.15 * 19000
+
+
 def test_large_buckets_of_unlike_lines(spark, monkeypatch):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyz"
