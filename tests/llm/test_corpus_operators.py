@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from issuelens.llm import buckets, common, components, line_dedup, minhash, mixing, packing, queries, tokens, vector_links
+from issuelens.llm import bitmaps, buckets, common, components, line_dedup, minhash, mixing, packing, queries, tokens, vector_links
 
 
 # --- components -------------------------------------------------------------------------------
@@ -323,6 +323,55 @@ def test_shingles_are_of_code_points(spark):
     assert set(got[2]).isdisjoint(got[3])
 
 
+def test_bands_are_of_the_nearest_hashes(spark):
+    """Two lines share band b if and only if its anchors' nearest hashes are the same; every shingle counts, the last ones too."""
+    pairs = edited_pairs("short", 60) + edited_pairs("unbroken", 30) + [("x" * 12, "x" * 40), ("ab", "ab ")]
+    pairs += [("a" * 20 + "bcdefghijk"[:n], "a" * 20 + "bcdefghijk"[:n + 1]) for n in range(9)]
+    lines = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "key LONG, line STRING")
+    hashes = {r["key"]: r["h"] for r in lines.select("key", line_dedup.shingle_hashes(F.col("line")).alias("h")).collect()}
+    got = {r["key"]: r["bands"] for r in line_dedup.with_bands(lines).select("key", "bands").collect()}
+    anchors = [-(1 << 63) + (2 * i + 1) * (1 << 63) // 36 for i in range(36)]
+    near = {k: [min(x ^ a for x in h) for a in anchors] for k, h in hashes.items()}
+    for i in range(len(pairs)):
+        a, b = near[2 * i], near[2 * i + 1]
+        want = [all(a[(3 * j + s) % 36] == b[(3 * j + s) % 36] for s in (0, 2, 5)) for j in range(12)]
+        assert [x == y for x, y in zip(got[2 * i], got[2 * i + 1], strict=True)] == want
+
+
+def test_equal_lines_are_signed_once_where_they_lie(spark):
+    """Signing groups the shingles where the lines were dealt, and neither sorts nor lists them."""
+    lines = spark.range(100).select((F.col("id") % 7).alias("h1"), F.concat(F.lit("the line of number "), (F.col("id") % 7).cast("string")).alias("line"))
+    one = lines.groupBy("h1").agg(F.first("line").alias("line"))
+    signed = line_dedup.with_bands(one, ["h1"])
+    assert signed.count() == 7
+    plan = signed._jdf.queryExecution().sparkPlan().toString() + signed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "sort_array" not in plan and "transform(" not in plan
+
+
+def test_early_refusal_changes_no_pair(spark):
+    pairs = edited_pairs("short", 40) + edited_pairs("unbroken", 40)
+    lines = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "key LONG, line STRING")
+    rows = common.stored(line_dedup.sketched(lines, 0.8), "sketches")
+    both = rows.select(F.col("key").alias("i"), F.col("sketch").alias("a")).crossJoin(rows.select(F.col("key").alias("j"), F.col("sketch").alias("b")))
+    differ = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(32)), F.lit(0))
+    plain = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * 0.8 - 1e-6) & (differ <= line_dedup.bits_allowed(F.col("a.n") + F.col("b.n"), 0.8))
+    got = both.select("i", "j", line_dedup.near(0.8)("a", "b").alias("got"), plain.alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+    assert all(r["got"] for r in got if r["i"] // 2 == r["j"] // 2) and not all(r["got"] for r in got)
+
+
+def test_shared_buckets_leave_out_lone_keys_before_the_shuffle(spark, monkeypatch):
+    rows = spark.range(3000).select(F.xxhash64(F.when(F.col("id") < 2900, F.col("id")).otherwise(F.col("id") % 10)).alias("band"), F.col("id").alias("key"))
+    sent = []
+    monkeypatch.setattr(buckets, "marked", lambda *a: sent.append(bitmaps.marked(*a)) or sent[-1])
+    got = sorted((r["band"], r["key"]) for r in buckets.shared_buckets(rows).collect())
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r["band"]].append(r["key"])
+    assert got == sorted((b, k) for b, x in by.items() if len(x) > 1 for k in x) and got
+    assert sent[0].count() < len(got) + 300
+
+
 def test_marks_find_all_keys_and_few_others(spark):
     lines = spark.range(20000).select(F.xxhash64("id").alias("h1"), "id")
     table, bits = line_dedup.bitmap(lines.filter("id < 1000"), 1000)
