@@ -13,7 +13,8 @@ each pair that meets is verified by edit distance.
 Where the work runs: occurrences are counted by DataFrame functions, before the shuffle; signatures
 are made in Arrow batches of distinct words only, so a frequent word costs what a rare one does.
 Pairs are compared inside the join and only near ones leave it.  Roots are found by
-pointer doubling over stored tables.
+pointer doubling over stored tables.  No side of a join is broadcast: all grow with the vocabulary, and Spark sizes them by
+the stored words, whose signatures take many times that room.
 
 Defined results: a null text has no words; a null ``doc_id`` is written ``null`` in the crc key;
 rows with equal id and text count each; ties between forms go to the word that is least
@@ -108,7 +109,7 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
     a = sig.filter(~F.col("longer")).select(F.col("sig").alias("s"), F.col("word").alias("a"), F.col("n").alias("na"))
     b = sig.select("sig", "longer", F.col("word").alias("b"), F.col("n").alias("nb"))
     near = (F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, (F.col("s") == F.col("sig")) & near).select("a", "na", "b", "nb").distinct()
+    return a.join(b.hint("merge"), (F.col("s") == F.col("sig")) & near).select("a", "na", "b", "nb").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stored(forms.select("word", F.col("form").alias("root")), "roots")
     for _ in range(ROUNDS):
         step = at.select(F.col("word").alias("_w"), F.col("root").alias("_r"))
-        moved = at.join(step, F.col("root") == F.col("_w"), "left").select(
+        moved = at.join(step.hint("merge"), F.col("root") == F.col("_w"), "left").select(
             "word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved"))
         moved = stored(moved, "roots")
         if moved.filter("moved").isEmpty():
@@ -139,12 +140,12 @@ def variant_groups(words: DataFrame, parts: int = PARTS) -> DataFrame:
     best = F.min(F.struct((-F.col("m")).alias("m"), "near"))
     of = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best")).withColumnRenamed("word", "_w")
     takes = -F.col("best.m") >= RATIO * F.col("n")
-    judged = words.join(of, F.col("word") == F.col("_w"), "left").select(
+    judged = words.join(of.hint("merge"), F.col("word") == F.col("_w"), "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(takes, F.col("best.near")).alias("form"), F.when(takes, -F.col("best.m")).alias("form_n"))
     judged = stored(judged, "forms")
     ends = roots(judged.filter("form is not null")).select(F.col("word").alias("_w"), F.col("root").alias("_root"))
-    return judged.join(ends, F.col("word") == F.col("_w"), "left").select(
+    return judged.join(ends.hint("merge"), F.col("word") == F.col("_w"), "left").select(
         "word", "form", F.coalesce("_root", "word").alias("root"), "n", "n_near", "form_n")
 
 

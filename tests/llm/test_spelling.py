@@ -120,6 +120,22 @@ def test_many_words_with_equal_letters(spark):
     assert pairs == {tuple(sorted((a, b))) for a in short for b in all_words if one_edit(a, b)}
 
 
+def test_no_join_is_broadcast(spark, texts, monkeypatch):
+    # Stored words are small, their signatures are not: Spark would size both by the stored file.
+    words = S.stored(spark.createDataFrame([(w, n) for w, n in plain_counts(texts).items()], "word string, n bigint"), "words")
+    plans = []
+    keep = S.stored
+
+    def planned(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *args)
+
+    monkeypatch.setattr(S, "stored", planned)
+    plans.append(S.variant_groups(words)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_empty_table_and_clashing_columns(spark, texts):
     schema = "doc_id bigint, text string"
     empty = S.spelling_variants(spark.createDataFrame([], schema))
