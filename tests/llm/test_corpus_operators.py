@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -564,3 +565,41 @@ def test_groups_of_unlike_members_stay_bounded(spark, monkeypatch):
     assert len(sizes) > 300 and max(sizes) <= 2 * 1.6 * 64
     pairs = minhash.likely_pairs(tagged, sketches, 0.8, best=False)
     assert pairs.count() == n * (n - 1) // 2 - 400 * 399 // 2
+
+
+def test_text_keys_are_taken_before_lines(docs):
+    # Above the generator they would be taken for every line of a text.
+    plan = line_dedup.exploded(docs)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate")
+    assert "xxhash64(3" in below and "xxhash64(3" not in above
+
+
+def test_sketches_meet_in_code_that_is_compiled(spark):
+    # The JVM does not compile a method of more than 8,000 bytes.
+    lines = spark.createDataFrame([(i, f"line number {i} of a few that are alike") for i in range(20)], "key bigint, line string")
+    rows = common.stored(line_dedup.sketched(lines, 0.8), "sketches")
+    a, b = (rows.select(F.col("key").alias(k), F.col("sketch").alias(f"sketch_{k}"), (F.col("key") % 3).alias(f"m_{k}")) for k in ("a", "b"))
+    pairs = a.join(b.hint("merge"), (F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")) & line_dedup.near(0.8)("sketch_a", "sketch_b"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = pairs.select("a", "b").distinct()._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if "shuffle_" in (f := files.apply(i).getName())}
+
+    before = shuffled()
+    out = common.stored(spark.range(5000).groupBy((F.col("id") % 500).alias("k")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    for _ in range(100):  # files are deleted by a thread of their own
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert out.count() == 500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
